@@ -30,26 +30,26 @@ def _ids(codes: np.ndarray) -> list[np.ndarray]:
     return [((h ^ (h >> np.uint64(15))) % np.uint64(BUCKETS)).astype(np.int64) for h in (one, two, three)]
 
 
-def words_as_codes(texts: list[str]) -> np.ndarray:
-    """Code points of the texts in composed form, every run of blanks as one, which is also what separates words."""
-    joined = "  ".join(" ".join(unicodedata.normalize("NFC", t).split()) for t in texts)
+def words_as_codes(texts: list[str], form: str = "NFC") -> np.ndarray:
+    """Code points of the texts in one normal form, every run of blanks as one, which is also what separates words."""
+    joined = "  ".join(" ".join(unicodedata.normalize(form, t).split()) for t in texts)
     return np.frombuffer(f"  {joined}  ".encode("utf-32-le"), dtype=np.uint32)
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    for batch in batches:
-        texts = batch["text"].tolist()
-        for start in range(0, len(texts), 200):
-            for ids in _ids(words_as_codes(texts[start : start + 200])):
-                counts += np.bincount(ids, minlength=BUCKETS)
-    at = np.flatnonzero(counts)
-    yield pd.DataFrame({"bucket": at.astype(np.int32), "n": counts[at]})
-
-
-def ngram_counts(texts: DataFrame) -> np.ndarray:
+def ngram_counts(texts: DataFrame, form: str = "NFC") -> np.ndarray:
     """Counts of all 1- to 3-grams of the column ``text`` over all rows: summed on the executors, at most BUCKETS rows to the driver."""
-    summed = texts.select("text").mapInPandas(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            values = batch["text"].tolist()
+            for start in range(0, len(values), 200):
+                for ids in _ids(words_as_codes(values[start : start + 200], form)):
+                    counts += np.bincount(ids, minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": counts[at]})
+
+    summed = texts.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     got = summed.toArrow()
     counts = np.zeros(BUCKETS, dtype=np.float32)
     counts[np.asarray(got["bucket"])] = np.asarray(got["n"])

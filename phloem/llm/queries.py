@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and SQL.
-_PARTS = ("q_groups", "q_boilerplate", "q_mojibake", "q_markup")
+_PARTS = ("q_groups", "q_boilerplate", "q_mojibake", "q_markup", "q_lookalike")
 
 QUERIES: dict = {}
 SQL: dict = {}
