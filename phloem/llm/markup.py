@@ -180,7 +180,7 @@ def markup_lines(texts: DataFrame, table_name: str, key: str, text: str) -> Data
             rows = [(k, no, kind) for k, body in batch.itertuples(index=False, name=None) for no, kind in kinds_by_line(body, trees)]
             yield pd.DataFrame(rows, columns=["record_key", "line_no", "markup"])
 
-    rows = texts.filter(F.length(text) > 0).select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("text")).distinct()
+    rows = texts.filter(F.length(text) > 0).select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("text"))
     found = rows.mapInPandas(read, "record_key string, line_no int, markup string")
     return found.select(F.lit(table_name).alias("table_name"), "record_key", "line_no", "markup").distinct()
 
