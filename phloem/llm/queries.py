@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and SQL.
-_PARTS = ("q_groups", "q_boilerplate", "q_mojibake", "q_markup", "q_lookalike", "q_sitelines", "q_knn")
+_PARTS = ("q_groups", "q_boilerplate", "q_mojibake", "q_markup", "q_lookalike", "q_sitelines", "q_knn", "q_mix_pack")
 
 QUERIES: dict = {}
 SQL: dict = {}
