@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phloem.functions.text import collapse
+from phloem.storage import Stage
 
 
 def latest(df: DataFrame, key: str, seen_at: str, *ties: str) -> DataFrame:
@@ -126,15 +127,18 @@ def evidence_chunks(links: DataFrame, wanted: DataFrame, chunks: DataFrame) -> D
 
 
 def neighbourhood(relations: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(query_id, entity_id): seeds and all within ``hops`` steps of them in either direction."""
+    """(query_id, entity_id): seeds and all within ``hops`` steps of them in either direction.
+
+    Each hop's new nodes are written, so a hop reads the one before and never computes it again.
+    """
     if hops not in (1, 2, 3):
         raise ValueError("hops must be 1, 2 or 3")
-    edges = both_ways(relations).select("entity_id", "neighbour_id").distinct()
-    reached = seeds.select("query_id", "entity_id").distinct()
-    frontier = reached
+    stage = Stage(relations.sparkSession, "hops")
+    edges = stage.write(both_ways(relations).select("entity_id", "neighbour_id").distinct(), "edges")
+    frontier = reached = stage.write(seeds.select("query_id", "entity_id").distinct(), "seeds")
     for _ in range(hops):
         step = frontier.join(edges, "entity_id").select("query_id", F.col("neighbour_id").alias("entity_id")).distinct()
-        frontier = step.join(reached, ["query_id", "entity_id"], "left_anti")
+        frontier = stage.write(step.join(reached, ["query_id", "entity_id"], "left_anti"), "frontier")
         reached = reached.union(frontier)
     return reached
 

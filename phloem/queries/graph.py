@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phloem.operators import graph as g
 from phloem.operators import rank as r
-from phloem.storage import table
+from phloem.storage import Stage, table
 
 #: A batch of questions as the retrieval queries get it.
 QUESTIONS = (("q1", "viêm da"), ("q2", "thoái hóa"), ("q3", "ho khan"), ("q4", "dị ứng vùng cổ"), ("q5", "chóng mặt"))
@@ -17,9 +17,9 @@ _SEEDS, _ITERATIONS = 12, 5
 
 
 class Graph:
-    """The current graph of a table folder."""
+    """The current graph of a table folder; ``fixed`` writes its tables once, for queries that read them several times."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, fixed: bool = False):
         self.spark = spark
         read = lambda t: table(spark, sf_dir, t)
         self.raw = {t: read(t) for t in ("entities", "relations", "chunks", "articles")}
@@ -29,13 +29,24 @@ class Graph:
         self.relations = g.merged_relations(self.raw["relations"], self.entities)
         self.links = g.evidence_links(self.raw["relations"]).join(self.relations.select("relation_id"), "relation_id", "left_semi")
         self.mentions = g.mentions(self.relations, self.links, self.chunks)
+        self.stage = Stage(spark, "graph") if fixed else None
+        self._seeds = None
+        if self.stage:
+            self.relations = self.stage.write(self.relations, "relations")
+            self.links = self.stage.write(self.links, "links")
+            self.mentions = self.stage.write(g.mentions(self.relations, self.links, self.chunks), "mentions")
 
     def questions(self) -> DataFrame:
         return self.spark.createDataFrame(QUESTIONS, "query_id string, text string")
 
     def seeds(self) -> DataFrame:
+        if self._seeds is not None:
+            return self._seeds
         scored = g.lexical_scores(self.questions(), self.entities, _SEED_WEIGHTS, "entity_id").join(self.entities.select("entity_id", F.coalesce("mention_count", F.lit(0)).alias("m")), "entity_id")
-        return g.top_per_query(scored, _SEEDS, F.desc("score"), F.desc("m"), F.asc("entity_id")).select("query_id", "entity_id", "score")
+        found = g.top_per_query(scored, _SEEDS, F.desc("score"), F.desc("m"), F.asc("entity_id")).select("query_id", "entity_id", "score")
+        if self.stage:
+            found = self._seeds = self.stage.write(found, "seeds")
+        return found
 
     def ranks(self) -> DataFrame:
         seeds = g.specificity(self.seeds(), g.document_frequency(self.mentions)).select("query_id", "entity_id", "score")
@@ -112,7 +123,7 @@ def _mention_links(spark: SparkSession, d: str) -> DataFrame:
 
 def _khop(hops: int):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        x = Graph(spark, d)
+        x = Graph(spark, d, fixed=True)
         return g.induced(x.relations, g.neighbourhood(x.relations, x.seeds(), hops))
 
     return query
@@ -160,16 +171,16 @@ def _has_chunk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return Graph(spark, d).ranks().select("query_id", "entity_id", F.round("score", 8).alias("score"))
+    return Graph(spark, d, fixed=True).ranks().select("query_id", "entity_id", F.round("score", 8).alias("score"))
 
 
 def _hippo_relations(spark: SparkSession, d: str) -> DataFrame:
-    x = Graph(spark, d)
+    x = Graph(spark, d, fixed=True)
     return r.relation_scores(g.relations_touching(x.relations, x.seeds()), x.ranks()).select("query_id", "relation_id", F.round("score", 8).alias("score"))
 
 
 def _hippo_chunks(spark: SparkSession, d: str) -> DataFrame:
-    x = Graph(spark, d)
+    x = Graph(spark, d, fixed=True)
     ranks = x.ranks()
     scored = r.relation_scores(g.relations_touching(x.relations, x.seeds()), ranks)
     return r.chunk_scores(x.mentions, ranks, scored, x.links).join(x.chunks.select("chunk_id"), "chunk_id", "left_semi").select("query_id", "chunk_id", F.round("score", 7).alias("score"))
@@ -185,12 +196,12 @@ def _branches(x: Graph) -> DataFrame:
 
 
 def _rrf(spark: SparkSession, d: str) -> DataFrame:
-    fused = r.reciprocal_rank_fusion(_branches(Graph(spark, d)), "chunk_id")
+    fused = r.reciprocal_rank_fusion(_branches(Graph(spark, d, fixed=True)), "chunk_id")
     return fused.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.array_join("branches", ",").alias("branches"), "best_score")
 
 
 def _max_merge(spark: SparkSession, d: str) -> DataFrame:
-    return r.max_merge(_branches(Graph(spark, d)), "chunk_id").select("query_id", "chunk_id", "branch", "score")
+    return r.max_merge(_branches(Graph(spark, d, fixed=True)), "chunk_id").select("query_id", "chunk_id", "branch", "score")
 
 
 def _seed_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -207,14 +218,14 @@ def _filter_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _diseases(spark: SparkSession, d: str) -> DataFrame:
-    x = Graph(spark, d)
+    x = Graph(spark, d, fixed=True)
     touching = g.relations_touching(x.relations, x.seeds()).withColumn("score", F.col("confidence"))
     return r.disease_candidates(touching, x.entities, x.seeds()).select("query_id", "entity_id", F.round("score", 8).alias("score"))
 
 
 def _disease_chunk_boost(spark: SparkSession, d: str) -> DataFrame:
     """What disease candidates add to the chunks that are evidence of their relations."""
-    x = Graph(spark, d)
+    x = Graph(spark, d, fixed=True)
     touching = g.relations_touching(x.relations, x.seeds()).withColumn("score", F.col("confidence"))
     scores = r.disease_candidates(touching, x.entities, x.seeds())
     kinds = x.entities.select("entity_id", "entity_type")
