@@ -16,11 +16,11 @@ from phloem.storage import Stage
 _PART_ROWS, _PARTS = 50_000, 16
 
 
-def pieces(sizes: DataFrame, specs: DataFrame, id_col: str, size: str, spec: str, capacity: str) -> DataFrame:
+def pieces(sizes: DataFrame, limits: dict[int, int], id_col: str, size: str) -> DataFrame:
     """(spec, item, id, piece, first_token, size): every text of a spec as pieces; only one that exceeds the capacity has several."""
     each = sizes.filter(F.col(size) > 0).select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(size).cast("long").alias("whole"))
-    bounds = specs.filter(F.col(capacity) > 0).select(F.col(spec).alias("spec"), F.col(capacity).cast("long").alias("capacity")).distinct()
-    crossed = each.join(F.broadcast(bounds))  # a handful of specs, each of which packs every item
+    bounds = F.array(*[F.struct(F.lit(s).cast("long").alias("spec"), F.lit(c).cast("long").alias("capacity")) for s, c in limits.items()])
+    crossed = each.withColumn("__b", F.explode(bounds)).select("*", "__b.spec", "__b.capacity")  # every spec packs every item
     cut = crossed.withColumn("piece", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("whole") / F.col("capacity")) - 1).cast("int"))))
     first = F.col("piece") * F.col("capacity")
     return cut.select("spec", F.abs(F.shiftright(F.xxhash64("row", "piece"), 1)).alias("item"), "id", "piece", first.alias("first_token"), F.least("capacity", F.col("whole") - first).alias("size"))
@@ -77,7 +77,8 @@ def pack(sizes: DataFrame, specs: DataFrame, id_col: str, size: str = "tokens",
     """(spec, container_id, id, piece, first_token, tokens): every text in exactly one container of each spec.
 
     A text is split only if it alone exceeds the capacity: into pieces of the capacity and a rest. Items of size 0 or
-    null are not packed; a capacity that is null or not positive packs nothing; empty tables give no rows.
+    null are not packed; a capacity that is null or not positive packs nothing, the largest
+    capacity of a repeated spec counts; empty tables give no rows.
 
     One round, for all specs at once: items still to be placed and the gaps of open containers are range-sorted by size;
     each partition matches its items to their closest larger gaps; what is left over in it meets the gaps left by the
@@ -89,9 +90,11 @@ def pack(sizes: DataFrame, specs: DataFrame, id_col: str, size: str = "tokens",
     """
     spark = sizes.sparkSession
     stage = Stage(spark, "packing")
-    catalogue = stage.write(pieces(sizes, specs, id_col, size, spec, capacity), "items")
-    limits = {r["spec"]: r["capacity"] for r in specs.filter(F.col(capacity) > 0).select(F.col(spec).alias("spec"), F.col(capacity).alias("capacity")).distinct().collect()}
-    waiting = catalogue.select(F.col("spec").cast("long").alias("spec"), "item", "size")
+    limits = {r["spec"]: r["capacity"] for r in specs.filter(F.col(capacity) > 0).groupBy(F.col(spec).alias("spec")).agg(F.max(capacity).alias("capacity")).collect()}
+    if not limits:
+        return sizes.select(F.lit(None).cast("long").alias(spec), F.lit(None).cast("long").alias("container_id"), F.col(id_col), F.lit(None).cast("int").alias("piece"), F.lit(None).cast("long").alias("first_token"), F.lit(None).cast("long").alias("tokens")).filter("false")
+    catalogue = stage.write(pieces(sizes, limits, id_col, size), "items")
+    waiting = catalogue.select("spec", "item", "size")
     bins = spark.createDataFrame([], "spec long, bin long, gap long")
     placed: list[DataFrame] = []
     opened = dict.fromkeys(limits, 0)
