@@ -6,10 +6,11 @@ aggregates whose map side combines; joins on a hub's id have one row a key on th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phloem.functions.text import collapse
 from phloem.storage import Stage
 
 
@@ -164,27 +165,38 @@ def specificity(scored: DataFrame, frequency: DataFrame, least: float = 1e-6) ->
 
 def graph_stats(articles: DataFrame, chunks: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """One row of the four true counts; an empty table is 0."""
-    each = [df.agg(F.count("*").alias(n)) for df, n in ((articles, "articles"), (chunks, "chunks"), (entities, "entities"), (relations, "relations"))]
-    return each[0].crossJoin(each[1]).crossJoin(each[2]).crossJoin(each[3])  # four rows of one number
+    names = ("articles", "chunks", "entities", "relations")
+    each = [df.agg(F.lit(n).alias("t"), F.count("*").alias("n")) for df, n in zip((articles, chunks, entities, relations), names)]
+    return reduce(DataFrame.union, each).agg(*[F.max(F.when(F.col("t") == n, F.col("n"))).alias(n) for n in names])
 
 
-def lexical_scores(texts: DataFrame, rows: DataFrame, weights: dict[str, int], id_col: str) -> DataFrame:
+def lexical_scores(texts: DataFrame, rows: DataFrame, weights: dict[str, int], id_col: str, block: int = 256) -> DataFrame:
     """(query_id, id, score > 0): the weights of the fields that hold a query's text, in lower case.
 
-    A field is a string, or an array of which any element counts. ``texts`` (query_id, text) is the side that is
-    broadcast; it is a batch of questions, not a table that grows.
+    A field is a string, or an array of which any element counts; nulls hold nothing, and blank texts ask for nothing.
+    ``texts`` (query_id, text) is a batch of questions: it goes through in blocks of literals, so the rows are scanned
+    once a block and nothing is joined.
     """
     kinds = dict(rows.dtypes)
-    asked = F.broadcast(texts.select("query_id", F.lower(F.trim("text")).alias("__q")).filter("__q <> ''"))
-    hit = lambda f: F.exists(F.coalesce(F.col(f), F.array().cast("array<string>")), lambda x: F.lower(x).contains(F.col("__q"))) if kinds[f].startswith("array") else F.lower(F.coalesce(F.col(f), F.lit(""))).contains(F.col("__q"))
-    score = sum((F.when(F.coalesce(hit(f), F.lit(False)), F.lit(w)).otherwise(F.lit(0)) for f, w in weights.items()), F.lit(0))
-    return rows.join(asked).select("query_id", F.col(id_col), score.alias("score")).filter("score > 0")
+    asked = [(r["query_id"], r["q"]) for r in texts.select("query_id", F.lower(F.trim("text")).alias("q")).filter("q <> ''").orderBy("query_id").collect()]
+    if not asked:
+        return rows.select(F.lit(None).cast(dict(texts.dtypes)["query_id"]).alias("query_id"), F.col(id_col), F.lit(0).alias("score")).filter("false")
+
+    def hit(field: str, q: Column) -> Column:
+        if kinds[field].startswith("array"):
+            return F.exists(F.coalesce(F.col(field), F.array().cast("array<string>")), lambda x: F.lower(x).contains(q))
+        return F.lower(F.coalesce(F.col(field), F.lit(""))).contains(q)
+
+    parts = []
+    for start in range(0, len(asked), block):
+        some = F.array(*[F.struct(F.lit(i).alias("query_id"), F.lit(q).alias("q")) for i, q in asked[start : start + block]])
+        each = rows.select(id_col, *dict.fromkeys(weights), F.explode(some).alias("__a"))
+        score = sum((F.when(F.coalesce(hit(f, F.col("__a.q")), F.lit(False)), F.lit(w)).otherwise(F.lit(0)) for f, w in weights.items()), F.lit(0))
+        parts.append(each.select(F.col("__a.query_id").alias("query_id"), F.col(id_col), score.alias("score")).filter("score > 0"))
+    return reduce(DataFrame.union, parts)
 
 
 def unique_violations(df: DataFrame, key: str) -> DataFrame:
     """Keys that more than one row holds: what a uniqueness constraint would refuse."""
     return df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
-
-def clean_label(c: str) -> Column:
-    return collapse(F.col(c))
