@@ -117,7 +117,7 @@ def tokens_estimate(c: Column | str) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Split after sentence ends; empty ones drop out."""
-    return F.filter(F.transform(F.split(F.trim(_col(c)), r"(?<=[.!?。])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.trim(_col(c)), r"(?<=[.!?。])\s+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def url_normal(c: Column | str) -> Column:

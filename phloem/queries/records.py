@@ -294,6 +294,7 @@ def _topk(score: str, k: int, where: str = "TRUE") -> str:
 _D = lambda x: f"list_transform({x}, lambda z: CAST(z AS DOUBLE))"
 _UNIT = lambda x: f"coalesce(greatest(0.0, least(1.0, CASE WHEN {x} > 5 THEN {x} / 10 WHEN {x} > 1 THEN {x} / 5 ELSE {x} END)), 0.0)"
 _NOISE = "(?i)" + "|".join(docs.NOISE)
+_HEADING = lambda x: f"trim(regexp_replace(regexp_replace(regexp_replace(trim({x}), '^#{{1,6}}\\s+', ''), '[*_]', '', 'g'), '\\s+', ' ', 'g'))"
 _HOST = lambda x: f"lower(regexp_extract({x}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)', 1))"
 
 SQL = {
@@ -335,6 +336,17 @@ SELECT key, entity_type FROM ends e WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.me
     "extraction_audit": """SELECT upper(trim(relation_type)) AS relation_type, count(*) AS n, count(DISTINCT relation_id) AS n_relations,
 count(*) FILTER (coalesce(len(keywords), 0) = 0) AS no_keywords, count(*) FILTER (NOT coalesce(confidence BETWEEN 0 AND 1, FALSE)) AS bad_confidence FROM relations GROUP BY 1""",
     "token_estimate": "SELECT doc_id, CAST(floor(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.5) AS INTEGER) AS tokens FROM documents WHERE text IS NOT NULL",
+    "sentence_split": """WITH t AS (SELECT doc_id, trim(text) AS x FROM documents WHERE text IS NOT NULL), s AS (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(x, '([.!?。])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda z: trim(z)), lambda z: z <> '') AS l FROM t)
+SELECT doc_id, CAST(len(l) AS INTEGER) AS n, md5(array_to_string(l, '|')) AS joined FROM s""",
+    "same_site_links": f"""WITH l AS (SELECT item_id, url, regexp_extract_all(markdown, '\\]\\((https?://[^()\\s]+)\\)', 1) AS a FROM article_items WHERE markdown IS NOT NULL),
+k AS (SELECT item_id, url, unnest(list_slice(list_filter(a, lambda z, i: list_position(a, z) = i), 1, 30)) AS target FROM l)
+SELECT item_id, count(DISTINCT target) AS n_links FROM k WHERE {_HOST("url")} = {_HOST("target")} GROUP BY item_id""",
+    "md_clean": f"""WITH a AS (SELECT DISTINCT article_id, title, body FROM articles WHERE body IS NOT NULL),
+l AS (SELECT *, string_split(regexp_replace(regexp_replace(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), chr(10)) AS lines FROM a),
+f AS (SELECT *, list_transform(lines, lambda z: starts_with(trim(z), '# ') AND {_HEADING("z")} = {_HEADING("coalesce(title, '')")}) AS h FROM l),
+k AS (SELECT *, list_filter(lines, lambda z, i: NOT regexp_matches(trim(z), '{_NOISE}') AND (NOT h[i] OR i = list_position(h, TRUE))) AS kept FROM f)
+SELECT article_id, md5(regexp_replace(regexp_replace(array_to_string(kept, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS cleaned, CAST(length(body) AS INTEGER) AS n_before FROM k""",
     "vector_topk_cosine": _topk(f"list_cosine_similarity({_D('q.v')}, {_D('e.embedding')})", 10),
     "vector_topk_dot": _topk(f"list_inner_product({_D('q.v')}, {_D('e.embedding')})", 10),
     "vector_topk_euclid": _topk(f"-list_distance({_D('q.v')}, {_D('e.embedding')})", 10),

@@ -35,7 +35,7 @@ def markdown_articles(spark: SparkSession, path: str) -> DataFrame:
     A file without front matter, or with one that is no YAML mapping, is all body. Dates stay strings. Where no title is
     given, the first first-level heading is it, else the file's name.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
     fence = r"(?s)^\x{FEFF}?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)(.*)$"
     cut = files.select("file_path", F.regexp_extract("value", fence, 1).alias("front"), F.when(F.col("value").rlike(fence), F.regexp_extract("value", fence, 2)).otherwise(F.col("value")).alias("body"))
 
@@ -56,10 +56,10 @@ def markdown_articles(spark: SparkSession, path: str) -> DataFrame:
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """(url), distinct in no order: a JSON list, an object with selected_urls or urls, or a text file with # comments."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
     as_list = F.from_json("value", "array<string>")
     as_object = F.from_json("value", "selected_urls array<string>, urls array<string>")
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     urls = F.when(F.col("value").startswith("["), as_list).when(F.col("value").startswith("{"), F.coalesce(as_object["selected_urls"], as_object["urls"])).otherwise(lines)
     return whole.select(F.explode(urls).alias("url")).filter("url is not null").distinct()
 
@@ -67,7 +67,7 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
 def questions(spark: SparkSession, path: str) -> DataFrame:
     """(question, reference, expected_terms, difficulty) of a JSON list, or of an object's questions, items or data; rows without a question drop out."""
     item = "struct<question:string,reference:string,reference_answer:string,expected_answer:string,expected_terms:array<string>,expected_entities:array<string>,difficulty:string>"
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     named = F.from_json("value", f"questions array<{item}>, items array<{item}>, data array<{item}>")
     rows = whole.select(F.explode(F.when(F.trim("value").startswith("["), F.from_json("value", f"array<{item}>")).otherwise(F.coalesce(named["questions"], named["items"], named["data"]))).alias("q")).select("q.*")
     found = rows.select("question", F.coalesce("reference", "reference_answer", "expected_answer").alias("reference"), F.coalesce("expected_terms", "expected_entities", F.array().cast("array<string>")).alias("expected_terms"), "difficulty")
