@@ -255,7 +255,7 @@ def clean_markup(text: str) -> str:
             continue
         kept, at, pieces = _CODE.finditer(line), 0, []
         for m in kept:  # inline code stays as it is
-            pieces += [_clean_line(line[at : m.start()]) if line[at : m.start()] else "", m.group()]
+            pieces += [_clean_math(line[at : m.start()]) if line[at : m.start()] else "", m.group()]
             at = m.end()
         rest = line[at:]
         done = "".join(pieces) + (_clean_math(rest) if rest else "")
