@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -107,7 +106,8 @@ def point_id(kind: str, key: Column | str) -> Column:
 
 
 def contains_any(text: Column, cues: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(c) for c in cues], F.lit(False))
+    """Whether the text holds one of the cues; one pattern of literals, so that the text is computed once."""
+    return text.rlike("|".join(rf"\Q{c}\E" for c in cues))
 
 
 def tokens_estimate(c: Column | str) -> Column:

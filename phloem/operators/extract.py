@@ -32,10 +32,7 @@ def bad_name(name: Column) -> Column:
 
 def question_only(evidence: Column) -> Column:
     text = F.lower(F.trim(evidence))
-    starts = F.lit(False)
-    for s in QUESTION_STARTS:
-        starts = starts | text.startswith(s)
-    return F.coalesce((text == "") | text.contains("?") | starts, F.lit(True))
+    return F.coalesce((text == "") | text.rlike(r"\?|^(?:" + "|".join(QUESTION_STARTS) + ")"), F.lit(True))
 
 
 def parenthetical(evidence: Column, a: Column, b: Column) -> Column:
