@@ -80,21 +80,32 @@ def split_sentences(text: str, budget: int, size: Callable[[str], int] = words_a
 
 
 def split_paragraphs(text: str, budget: int, overlap: int = 1, size: Callable[[str], int] = words_and_half) -> list[str]:
-    """Paragraphs joined as long as they fit; a new part starts with the last ``overlap`` paragraphs of the one before."""
-    out: list[str] = []
-    held: list[str] = []
-    for paragraph in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text))):
-        if size("\n\n".join([*held, paragraph])) <= budget:
-            held.append(paragraph)
+    """Paragraphs joined as long as they fit; a new part repeats the last ``overlap`` paragraphs of the one before.
+
+    A part that does not fit even so is cut by sentences, and the next paragraph may still join the last piece.
+    """
+    parts: list[list[str]] = []
+    for paragraph in (p.strip() for p in re.split(r"\n\s*\n", text)):
+        if not paragraph:
+            continue
+        if parts and size("\n\n".join([*parts[-1], paragraph])) <= budget:
+            parts[-1].append(paragraph)
             continue
-        if held:
-            out.append("\n\n".join(held))
-        held = [*(held[-overlap:] if overlap else []), paragraph]
-        if size("\n\n".join(held)) > budget:
-            *whole, last = split_sentences("\n\n".join(held), budget, size)
-            out += whole
-            held = [last]
-    return [*out, "\n\n".join(held)] if held else out
+        fresh = "\n\n".join([*(parts[-1][-overlap:] if parts and overlap else []), paragraph])
+        parts += [[x] for x in split_sentences(fresh, budget, size)] if size(fresh) > budget else [fresh.split("\n\n")]
+    return ["\n\n".join(p) for p in parts]
+
+
+def _under_headings(sections: list[dict]) -> str:
+    return "\n\n".join(f"{'#' * min(6, max(2, s['section_level']))} {s['section_title']}\n\n{s['text'].strip()}" for s in sections)
+
+
+def _in_context(title: str, sections: list[dict], text: str, single: bool) -> str:
+    """The text under its article's title and its section's names, as it is embedded and extracted from."""
+    names = [s["section_title"] for s in sections]
+    parent = sections[0]["parent"] if single else None
+    head = [f"Bài viết: {title}", *([f"Mục lớn: {parent}"] if parent else []), f"Mục: {names[0]}" if single else f"Các mục trong chunk: {' | '.join(names)}"]
+    return "\n".join([*head, "", text]).strip()
 
 
 def chunk_article(title: str, parts: list[dict], budget: int = 900, size: Callable[[str], int] = words_and_half) -> list[dict]:
@@ -103,37 +114,29 @@ def chunk_article(title: str, parts: list[dict], budget: int = 900, size: Callab
     Sections are dicts of section_title, section_level, parent, text. Budgets are of the text with its context, those of
     split parts of the bare text.
     """
-    out: list[dict] = []
-    pending: list[dict] = []
-
-    def body(sections: list[dict]) -> str:
-        return "\n\n".join(f"{'#' * max(2, min(s['section_level'], 6))} {s['section_title']}\n\n{s['text'].strip()}" for s in sections).strip()
-
-    def packed(sections: list[dict]) -> str:
-        return f"Bài viết: {title}\nCác mục trong chunk: {' | '.join(s['section_title'] for s in sections)}\n\n{body(sections)}".strip()
-
-    def single(s: dict, text: str) -> str:
-        head = [f"Bài viết: {title}"] + ([f"Mục lớn: {s['parent']}"] if s["parent"] else []) + [f"Mục: {s['section_title']}", ""]
-        return "\n".join([*head, text.strip()]).strip()
-
-    def flush() -> None:
-        if pending:
-            out.append({"section": " | ".join(s["section_title"] for s in pending), "subsection": None, "text": body(pending), "contextualized_text": packed(pending), "n_sections": len(pending)})
-            pending.clear()
-
+    runs: list[tuple[bool, list[dict]]] = []
     for s in parts:
         if not s["text"].strip():
             continue
-        if size(single(s, s["text"])) > budget:
-            flush()
-            for piece in split_paragraphs(s["text"], budget, 1, size):
-                out.append({"section": s["parent"] or s["section_title"], "subsection": s["section_title"] if s["parent"] else None, "text": piece.strip(), "contextualized_text": single(s, piece), "n_sections": 1})
-        elif size(packed([*pending, s])) <= budget:
-            pending.append(s)
+        if size(_in_context(title, [s], s["text"].strip(), True)) > budget:
+            runs.append((True, [s]))
+        elif runs and not runs[-1][0] and size(_in_context(title, [*runs[-1][1], s], _under_headings([*runs[-1][1], s]), False)) <= budget:
+            runs[-1][1].append(s)
         else:
-            flush()
-            pending.append(s)
-    flush()
+            runs.append((False, [s]))
+    out = []
+    for long, own in runs:
+        first = own[0]
+        for text in split_paragraphs(first["text"], budget, 1, size) if long else [_under_headings(own)]:
+            out.append(
+                {
+                    "section": (first["parent"] or first["section_title"]) if long else " | ".join(s["section_title"] for s in own),
+                    "subsection": first["section_title"] if long and first["parent"] else None,
+                    "text": text.strip(),
+                    "contextualized_text": _in_context(title, own, text.strip(), long),
+                    "n_sections": len(own),
+                }
+            )
     return out
 
 
