@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phloem.llm.charlm import _M1, _M2, _MASK, _mix, ngram_counts
+from phloem.storage import Stage
 
 #: Letters of the Latin, Cyrillic and Greek scripts that are drawn alike, one class a word.
 CLASSES = (
@@ -152,11 +153,12 @@ def alike_pairs(entities: DataFrame, id_col: str, fields: list[str]) -> DataFram
     Values that are empty once their invisible characters and blanks are gone read as nothing and pair with nothing.
     Pairs are made only in forms that occur in two spellings or more, and only between different spellings; entities
     that share one spelling are not paired. Model counts come from all values; at most charlm.BUCKETS counts reach the
-    driver. An empty table gives no rows; repeated rows and nulls change nothing.
+    driver; values and forms are written once, as several passes read them. An empty table gives no rows; repeated rows and nulls change nothing.
     """
-    values = field_values(entities, id_col, fields)
+    stage = Stage(entities.sparkSession, "alike")
+    values = stage.write(field_values(entities, id_col, fields), "values")
     counts = model_counts(values.select(F.col("value").alias("text")))
-    spelled = with_form(values.select("field_name", "value").distinct(), "value", counts)
+    spelled = stage.write(with_form(values.select("field_name", "value").distinct(), "value", counts), "forms")
     forms = spelled.filter("trim(form) <> ''")
     varied = forms.groupBy("field_name", "form").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     spellings = forms.join(varied, ["field_name", "form"], "left_semi")
