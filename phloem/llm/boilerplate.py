@@ -84,7 +84,7 @@ def read_page(markdown: str, title: str | None) -> list[tuple[int, int, int, boo
     return out
 
 
-_READ = "key long, host string, page long, line_no int, block int, kind int, follow int, token long, label long, seq int"
+_READ = "key long, host string, page long, lines array<struct<line_no:int,block:int,kind:int,follow:int,token:long,label:long>>"
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,7 +92,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for start in range(0, len(batch), 500):
             rows = []
             for key, host, page, title, markdown in batch.iloc[start : start + 500].itertuples(index=False, name=None):
-                lines = read_page(markdown, title if isinstance(title, str) and len(title) > 3 else None)
+                lines, out = read_page(markdown, title if isinstance(title, str) and len(title) > 3 else None), []
                 before = any(x[2] == TITLE for x in lines)
                 for at, (no, block, kind, reference, token, lead) in enumerate(lines):
                     if kind == TITLE:
@@ -101,13 +101,13 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     # what a heading opens: 1 a list or line of the same block that is no reference, 0 anything else
                     follow = int(bool(nxt) and nxt[1] == block and nxt[2] == OTHER and not nxt[3])
                     gap = "1" if before else "0"  # a token's role: what stands before the title and after it are two tokens
-                    rows.append((key, host, page, no, block, kind + 8 * before + 16 * reference, follow, None if token is None else _hash(gap + token), None if lead is None else _hash(gap + "label " + lead), at))
-            out = pd.DataFrame(rows, columns=["key", "host", "page", "line_no", "block", "kind", "follow", "token", "label", "seq"])
-            yield out.astype({"token": "Int64", "label": "Int64"})
+                    out.append((no, block, kind + 8 * before + 16 * reference, follow, None if token is None else _hash(gap + token), None if lead is None else _hash(gap + "label " + lead)))
+                rows.append((key, host, page, out))
+            yield pd.DataFrame(rows, columns=["key", "host", "page", "lines"])
 
 
-def deduce_template(lines: DataFrame, min_share: float, min_pages: int) -> DataFrame:
-    """(host, token, class_id, support, place): the tokens of each host's template, from the lines ``read_page`` gave.
+def deduce_template(stage: Stage, pages: DataFrame, min_share: float, min_pages: int) -> DataFrame:
+    """(host, token, class_id, support, place): the tokens of each host's template, from the pages that ``_read`` gave.
 
     One row a host, page and token, with the token's count and first place; then the occurrence vector of a token is
     hashed as a sum over its pages, so nothing of a host is gathered in one task however many pages it has. Tokens with
@@ -118,11 +118,13 @@ def deduce_template(lines: DataFrame, min_share: float, min_pages: int) -> DataF
     headings do not. A token valid for three hosts or more is also taken as template of all others (host null), which
     serves hosts with too few pages to deduce anything.
     """
-    each = lines.filter("kind % 8 <> 3").select("host", "page", "seq", "kind", "follow", F.explode(F.array("token", "label")).alias("token")).filter("token is not null")
+    lines = pages.select("host", "page", F.explode("lines").alias("l")).select("host", "page", F.col("l.line_no").alias("seq"), "l.kind", "l.follow", F.explode(F.array("l.token", "l.label")).alias("token"))
+    each = lines.filter("token is not null")
     per_page = each.groupBy("host", "token", "page").agg(
         F.count("*").alias("n"), F.min("seq").alias("first"), F.max(F.when(F.col("kind") % 8 == HEADING, 1).otherwise(0)).alias("heading"), F.max("follow").alias("follow")
     )
-    hosts = lines.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    per_page = stage.write(per_page, "tokens")
+    hosts = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     tokens = (
         per_page.groupBy("host", "token")
         .agg(
@@ -146,25 +148,20 @@ def deduce_template(lines: DataFrame, min_share: float, min_pages: int) -> DataF
     return own.union(everywhere.select(F.lit(None).cast("string"), "token", F.col("token"), "support", "place"))
 
 
-def _classify(lines: list) -> list[int]:
-    """Line numbers outside the article, of one page's lines (line_no, block, kind, follow, hit)."""
+def _classify(lines: list, hits: set[int]) -> list[int]:
+    """Line numbers outside the article, of one page's lines; ``hits`` are the lines that the template prints."""
     out: list[int] = []
     previous, furniture = None, False
-    for line_no, block, kind, follow, hit in sorted(lines):
+    for line_no, block, kind, follow in lines:
         before, reference, kind = bool(kind & 8), bool(kind & 16), kind & 7
-        same = previous == block
-        if kind == TITLE:
-            now = False
-        elif before:
-            now = True  # the slot before the title
-        elif kind == BLOCK:
+        if kind == TITLE or kind == BLOCK and not before:
             now = False
+        elif before or (line_no in hits and kind != HEADING):
+            now = True  # the slot before the title, and the template itself
         elif kind == HEADING:
-            now = hit and bool(follow)
-        elif hit:
-            now = True
+            now = line_no in hits and bool(follow)
         else:
-            now = same and furniture and kind == OTHER and not reference  # a slot inside a block of furniture
+            now = previous == block and furniture and kind == OTHER and not reference  # a slot inside a block of furniture
         if now:
             out.append(line_no)
         previous, furniture = block, now
@@ -173,7 +170,10 @@ def _classify(lines: list) -> list[int]:
 
 def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(key, no) for key, lines in zip(batch["key"], batch["lines"]) for no in _classify([tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in lines])]
+        rows = []
+        for key, lines, hits in zip(batch["key"], batch["lines"], batch["hits"]):
+            read = [(x["line_no"], x["block"], x["kind"], x["follow"]) for x in lines]
+            rows += [(key, no) for no in _classify(read, set(hits) if hits is not None else set())]
         yield pd.DataFrame(rows, columns=["key", "line_no"])
 
 
@@ -185,7 +185,7 @@ def boilerplate_lines(
     Pages belong to the host of their url, or to their source where the url has none; the same url crawled again is
     one page in the counts, and pages with neither are one host of their own pages. Null or blank Markdown has no
     lines. A null title only means that nothing is masked. A page without a title line keeps no slot before the title.
-    Repeated rows give their lines once. Very long pages are read whole; a page is the largest unit in one task.
+    Repeated rows give their lines once. A page's lines stay together in one row, so only tokens are ever shuffled by host. Very long pages are read whole; a page is the largest unit in one task.
     """
     spark = pages.sparkSession
     stage = Stage(spark, "boilerplate")
@@ -198,18 +198,12 @@ def boilerplate_lines(
         F.col(title).alias("title"),
         F.col(markdown).alias("markdown"),
     )
-    lines = stage.write(keyed.select("key", "host", "page", "title", "markdown").mapInPandas(_read, _READ), "lines")
-    template = stage.write(deduce_template(lines, min_share, min_pages), "template")
+    read = stage.write(keyed.select("key", "host", "page", "title", "markdown").mapInPandas(_read, _READ), "pages")
+    template = stage.write(deduce_template(stage, read, min_share, min_pages), "template")
     local = template.filter("host is not null").select("host", "token", F.lit(True).alias("hit"))
     anywhere = template.filter("host is null").select("token", F.lit(True).alias("any"))
-    tokens = lines.select("key", "host", "line_no", F.explode(F.array("token", "label")).alias("token")).filter("token is not null")
-    hits = tokens.join(local, ["host", "token"], "left").join(anywhere, "token", "left").filter("hit or any").select("key", "line_no", F.lit(True).alias("hit"))
-    marked = (
-        lines.select("key", "line_no", "block", "kind", "follow", F.lit(False).alias("hit"))
-        .unionByName(hits.select("key", "line_no", F.lit(None).cast("int").alias("block"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("int").alias("follow"), "hit"))
-        .groupBy("key", "line_no")
-        .agg(F.max("block").alias("block"), F.max("kind").alias("kind"), F.max("follow").alias("follow"), F.max("hit").alias("hit"))
-    )
-    grouped = marked.groupBy("key").agg(F.collect_list(F.struct("line_no", "block", "kind", "follow", "hit")).alias("lines"))
-    decided = grouped.mapInPandas(_decide, "key long, line_no int")
+    lines = read.select("key", "host", F.explode("lines").alias("l"))
+    tokens = lines.select("key", "host", "l.line_no", F.explode(F.array("l.token", "l.label")).alias("token")).filter("token is not null")
+    hits = tokens.join(local, ["host", "token"], "left").join(anywhere, "token", "left").filter("hit or any").groupBy("key").agg(F.collect_set("line_no").alias("hits"))
+    decided = read.select("key", "lines").join(hits, "key", "left").mapInPandas(_decide, "key long, line_no int")
     return keyed.select("id", "key").distinct().join(decided, "key").select(F.col("id").alias(id_col), "line_no").distinct()
