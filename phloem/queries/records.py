@@ -339,6 +339,16 @@ count(*) FILTER (coalesce(len(keywords), 0) = 0) AS no_keywords, count(*) FILTER
     "sentence_split": """WITH t AS (SELECT doc_id, trim(text) AS x FROM documents WHERE text IS NOT NULL), s AS (
   SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(x, '([.!?。])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda z: trim(z)), lambda z: z <> '') AS l FROM t)
 SELECT doc_id, CAST(len(l) AS INTEGER) AS n, md5(array_to_string(l, '|')) AS joined FROM s""",
+    "sections": BASE + """, a AS (SELECT article_id, title, unnest(string_split_regex(body, '\\r\\n|\\n|\\r')) AS line, generate_subscripts(string_split_regex(body, '\\r\\n|\\n|\\r'), 1) AS pos FROM art WHERE body IS NOT NULL),
+b AS (SELECT *, length(regexp_extract(trim(line), '^(#{1,6})\\s+\\S', 1)) AS level, trim(regexp_replace(regexp_extract(trim(line), '^#{1,6}\\s+(.+?)\\s*$', 1), '\\*\\*|__', '', 'g')) AS heading FROM a),
+c AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER w AS part, last_value(CASE WHEN level = 2 THEN heading END IGNORE NULLS) OVER w AS above
+  FROM b WHERE NOT coalesce(level = 1 AND heading = title, FALSE) WINDOW w AS (PARTITION BY article_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, last_value(CASE WHEN level >= 3 THEN coalesce(above, chr(1)) WHEN level = 2 THEN chr(1) END IGNORE NULLS) OVER (PARTITION BY article_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS kept FROM c),
+e AS (SELECT article_id, part, max(CASE WHEN level > 0 THEN heading END) AS h, max(level) AS l, max(CASE WHEN level > 0 THEN kept END) AS p,
+  regexp_replace(coalesce(string_agg(CASE WHEN level = 0 THEN line END, chr(10) ORDER BY pos), ''), '^\\s+|\\s+$', '', 'g') AS text FROM d GROUP BY article_id, part),
+f AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY part) - 1 AS n FROM e WHERE text <> '')
+SELECT article_id, CAST(n AS INTEGER) AS section_order, 'section_' || substring(md5(article_id || ':' || n || ':' || coalesce(h, 'Tóm tắt')), 1, 12) AS section_id, coalesce(h, 'Tóm tắt') AS section_title,
+CASE WHEN l > 0 THEN l ELSE 2 END AS section_level, nullif(p, chr(1)) AS parent, md5(text) AS text FROM f""",
     "same_site_links": f"""WITH l AS (SELECT item_id, url, regexp_extract_all(markdown, '\\]\\((https?://[^()\\s]+)\\)', 1) AS a FROM article_items WHERE markdown IS NOT NULL),
 k AS (SELECT item_id, url, unnest(list_slice(list_filter(a, lambda z, i: list_position(a, z) = i), 1, 30)) AS target FROM l)
 SELECT item_id, count(DISTINCT target) AS n_links FROM k WHERE {_HOST("url")} = {_HOST("target")} GROUP BY item_id""",
