@@ -58,6 +58,18 @@ def train_lists(sample: np.ndarray, n_lists: int, rounds: int = 8, seed: int = 7
     return c
 
 
+def _first_copies(codes: np.ndarray, ids: np.ndarray, k: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Equal vectors as classes (rows by class and id, where each class starts, each row's class), and whether a row is one of its class's first k + 1."""
+    codes = np.ascontiguousarray(codes)
+    _, same = np.unique(codes.view(np.dtype((np.void, codes.dtype.itemsize * codes.shape[1]))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, same)) if len(np.unique(same)) < len(same) else np.argsort(same)
+    first = np.r_[True, same[order][1:] != same[order][:-1]]
+    starts = np.flatnonzero(first)
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids)) - starts[np.cumsum(first) - 1]
+    return (order, starts, same), place <= k
+
+
 def _merge(best: tuple[np.ndarray, np.ndarray], rows: np.ndarray, other: np.ndarray, dist: np.ndarray, k: int) -> None:
     """Take candidates (row, other, dist) into the k best of each row; equal distances go to the smaller index."""
     if not len(rows):
@@ -129,8 +141,9 @@ def nearest(
     About sqrt(n) lists are trained on at most SAMPLE_ROWS rows; all rows are indexed. A point is copied, as 16-bit
     fixed-point numbers, to those of its ``probes`` closest lists whose centroid is within ``delta`` of the closest
     one's similarity. A pair is found if either point is copied to the other's list. Lists that the sample shows to be
-    larger than ``block_rows`` are split by id, and every probe of such a list goes to each of its blocks, so that no
-    task holds more than a block and its probes, however dense a region is.
+    larger than ``block_rows`` are split by id, and every probe of such a list goes to each of its blocks. Of equal
+    vectors only the k + 1 with the smallest ids are compared with anything; the rest have those as neighbours, so that
+    copies, however many, cost no pairs.
     """
     spark = points.sparkSession
     rows = points.select(F.col(id_col).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vector")).filter((F.size("vector") == dim) & F.col("id").isNotNull())
@@ -155,6 +168,10 @@ def nearest(
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
                 at, x = unit_rows(pa.concat_arrays([batch.column("vector")]), dim)
+                names = np.array(batch.column("id").take(pa.array(at)).to_pylist(), dtype=object)
+                if len(set(names)) < len(names):  # repeated rows are one point
+                    once = list({(i, v.tobytes()): n for n, (i, v) in reversed(list(enumerate(zip(names, x))))}.values())
+                    at, x, names = at[once], x[once], names[once]
                 if not len(at):
                     continue
                 x = x @ turn
@@ -172,7 +189,11 @@ def nearest(
                 who, cell, col = np.repeat(who, times), np.repeat(cell, times), np.repeat(col, times)
                 block = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
                 own = (col == 0) & (block == home[who])
-                codes = np.rint(x * _SCALE).astype(np.int16)[who]
+                codes = np.rint(x * _SCALE).astype(np.int16)
+                spare = ~_first_copies(codes, names, k)[1]
+                sent = own | ~spare[who]  # of equal vectors only the first k + 1 are sent to other lists and blocks
+                who, cell, block, own = who[sent], cell[sent], block[sent], own[sent]
+                codes = codes[who]
                 data = pa.py_buffer(np.ascontiguousarray(codes))
                 offsets = pa.py_buffer((np.arange(len(who) + 1) * 2 * dim).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -187,12 +208,25 @@ def nearest(
         order = np.lexsort((ids, ~own))
         ids, own, x = ids[order], own[order], x[order]
         once = np.r_[True, (ids[1:] != ids[:-1]) | (own[1:] != own[:-1])] if len(ids) else np.zeros(0, bool)
-        ids, own, x = ids[once], own[once], x[once].astype(np.float32) / np.float32(_SCALE)
+        ids, own, x = ids[once], own[once], np.ascontiguousarray(x[once])
+        if not len(ids):
+            return pa.table({"id": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "similarity": pa.array([], pa.float32())})
+        (order, starts, same), active = _first_copies(x, ids, k)
+        extra = np.flatnonzero(~active & own)
+        twins = order[starts[same[extra]][:, None] + np.arange(k)] if len(extra) else np.zeros((0, k), np.int64)
+        more = ids[np.repeat(extra, k)], ids[twins.ravel()]
+        ids, own, x = ids[active], own[active], x[active].astype(np.float32) / np.float32(_SCALE)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         m = int(own.sum())
         at, dist = scan_list(x[:m], x[m:], k, min_similarity)
         i, j = np.nonzero(at >= 0)
-        return pa.table({"id": pa.array(ids[i], pa.string()), "neighbour": pa.array(ids[at[i, j]], pa.string()), "similarity": pa.array(1 - dist[i, j] / 2, pa.float32())})
+        return pa.table(
+            {
+                "id": pa.array(np.concatenate([ids[i], more[0]]), pa.string()),
+                "neighbour": pa.array(np.concatenate([ids[at[i, j]], more[1]]), pa.string()),
+                "similarity": pa.array(np.concatenate([1 - dist[i, j] / 2, np.ones(len(more[0]), np.float32)]), pa.float32()),
+            }
+        )
 
     copies = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("int")).mapInArrow(index, schema)
     found = copies.groupBy("list", "block").applyInArrow(scan, "id string, neighbour string, similarity float").filter("id <> neighbour")

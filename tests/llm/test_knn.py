@@ -43,3 +43,16 @@ def test_dirty_vectors_repeats_and_ties(spark):
     assert [tuple(r) for r in neighbour_pairs(found, "id", 0.75).collect()] == [("a", "b")]
     assert nearest(df.limit(0), "id", "v", 8).count() == 0
     assert nearest(df.filter("id in ('c', 'f')"), "id", "v", 8).count() == 0
+
+
+def test_many_copies_of_one_vector(spark):
+    x = _clusters(240, 8)
+    rows = [(f"c{i:04d}", [1.0] * 8) for i in range(900)] + [(f"p{i:04d}", v.tolist()) for i, v in enumerate(x)]
+    rows += [("c0000", [1.0] * 8)] * 20
+    found = nearest(spark.createDataFrame(rows, "id string, v array<float>"), "id", "v", 8, 5, None, block_rows=100).toPandas()
+    copies = found[found.id.str.startswith("c")]
+    assert copies.groupby("id").size().eq(5).all() and copies.id.nunique() == 900 and (copies.similarity > 1 - 1e-6).all()
+    smallest = {f"c{i:04d}" for i in range(6)}
+    assert set(copies.neighbour) == smallest and (copies.id != copies.neighbour).all()
+    others = found[found.id.str.startswith("p")]
+    assert others.groupby("id").size().eq(5).all()
