@@ -159,7 +159,7 @@ def nearest(
     centroids = train_lists(sample, n_lists)
     share = np.bincount(np.concatenate([np.argmax(sample[i : i + 4096] @ centroids.T, axis=1) for i in range(0, len(sample), 4096)]), minlength=n_lists) / len(sample)
     n_blocks = np.maximum(1, np.ceil(share * n / block_rows)).astype(np.int64)
-    shared = spark.sparkContext.broadcast((turn, centroids, n_blocks))
+    shared = spark.sparkContext.broadcast((turn.astype(np.float64), centroids, n_blocks))
     schema = "list int, block int, id string, own boolean, v binary"
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +174,8 @@ def nearest(
                     at, x, names = at[once], x[once], names[once]
                 if not len(at):
                     continue
-                x = x @ turn
+                exact = x.astype(np.float64) @ turn  # in double precision equal vectors get equal codes in every batch
+                x = exact.astype(np.float32)
                 near = x @ centroids.T
                 width = min(probes, near.shape[1])
                 order = np.argpartition(-near, width - 1, axis=1)[:, :width]
@@ -189,7 +190,7 @@ def nearest(
                 who, cell, col = np.repeat(who, times), np.repeat(cell, times), np.repeat(col, times)
                 block = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
                 own = (col == 0) & (block == home[who])
-                codes = np.rint(x * _SCALE).astype(np.int16)
+                codes = np.rint(exact * _SCALE).astype(np.int16)
                 spare = ~_first_copies(codes, names, k)[1]
                 sent = own | ~spare[who]  # of equal vectors only the first k + 1 are sent to other lists and blocks
                 who, cell, block, own = who[sent], cell[sent], block[sent], own[sent]
