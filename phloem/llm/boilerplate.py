@@ -84,7 +84,7 @@ def read_page(markdown: str, title: str | None) -> list[tuple[int, int, int, boo
     return out
 
 
-_READ = "key long, host string, page long, lines array<struct<line_no:int,block:int,kind:int,follow:int,token:long,label:long>>"
+_READ = "key long, host string, page long, lines array<struct<line_no:int,block:int,kind:int,follow:int,token:long,label:long,above:long,above_label:long>>"
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,6 +94,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for key, host, page, title, markdown in batch.iloc[start : start + 500].itertuples(index=False, name=None):
                 lines, out = read_page(markdown, title if isinstance(title, str) and len(title) > 3 else None), []
                 before = any(x[2] == TITLE for x in lines)
+                above = (None, None, None)  # block, token and label of a line that the next one of its block runs on from
                 for at, (no, block, kind, reference, token, lead) in enumerate(lines):
                     if kind == TITLE:
                         before = False
@@ -101,28 +102,36 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     # what a heading opens: 1 a list or line of the same block that is no reference, 0 anything else
                     follow = int(bool(nxt) and nxt[1] == block and nxt[2] == OTHER and not nxt[3])
                     gap = "1" if before else "0"  # a token's role: what stands before the title and after it are two tokens
-                    out.append((no, block, kind + 8 * before + 16 * reference, follow, None if token is None else _hash(gap + token), None if lead is None else _hash(gap + "label " + lead)))
+                    names = (None if token is None else _hash(gap + token), None if lead is None else _hash(gap + "label " + lead))
+                    out.append((no, block, kind + 8 * before + 16 * reference, follow, *names, *(above[1:] if above[0] == block else (None, None))))
+                    above = (block if kind in (OTHER, PROSE) else None, *names)
                 rows.append((key, host, page, out))
             yield pd.DataFrame(rows, columns=["key", "host", "page", "lines"])
 
 
 def deduce_template(stage: Stage, pages: DataFrame, min_share: float, min_pages: int) -> DataFrame:
-    """(host, token, class_id, support, place): the tokens of each host's template, from the pages that ``_read`` gave.
+    """(host, token): the tokens of the valid classes of each host's template, from the pages that ``_read`` gave.
 
     One row a host, page and token, with the token's count and first place; then the occurrence vector of a token is
     hashed as a sum over its pages, so nothing of a host is gathered in one task however many pages it has. Tokens with
-    the same vector are a class. A class is valid if enough of the host's distinct pages hold it and its tokens come in
-    one order on all of them; where the order differs, each token is a class of its own. A token's role depends on the
-    gap of the one token that every page has, its title: before and after it are two tokens, so that valid classes nest
-    in those gaps. A heading counts only where it opens a list or line directly on most pages, which an article's
-    headings do not. A token valid for three hosts or more is also taken as template of all others (host null), which
-    serves hosts with too few pages to deduce anything.
+    the same vector that nest in the same gap are a class; where their order differs between pages the class fails and
+    its tokens stand or fall alone. A token's role depends on the gaps of the one token that every page has, its title:
+    before and after it are two tokens. After the title, the article's slot ends with the page's last prose line that
+    the host does not repeat. A class is valid if enough of the host's distinct pages hold it and it nests in a gap
+    outside that slot on most of them; inside the slot it is valid only as an insert, none of whose tokens is prose or
+    runs on from a line of the article in the same block. A heading counts only where it opens a list or line directly
+    on most pages, which an article's headings do not. A token valid for three hosts or more is also taken as template
+    of all others (host null), which serves hosts with too few pages to deduce anything.
     """
-    lines = pages.select("host", "page", F.explode("lines").alias("l")).select("host", "page", F.col("l.line_no").alias("seq"), "l.kind", "l.follow", F.explode(F.array("l.token", "l.label")).alias("token"))
+    lines = pages.select("host", "page", F.explode("lines").alias("l")).select(
+        "host", "page", F.col("l.line_no").alias("seq"), "l.kind", "l.follow", "l.label", "l.above", "l.above_label", F.explode(F.array("l.token", "l.label")).alias("token")
+    )
     each = lines.filter("token is not null")
+    at = lambda c: F.min_by(c, "seq").alias(c)
     per_page = each.groupBy("host", "token", "page").agg(
-        F.count("*").alias("n"), F.min("seq").alias("first"), F.max(F.when(F.col("kind") % 8 == HEADING, 1).otherwise(0)).alias("heading"), F.max("follow").alias("follow")
-    )
+        F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.max(F.when(F.col("kind") % 8 == HEADING, 1).otherwise(0)).alias("heading"), F.max("follow").alias("follow"),
+        F.max(F.when(F.col("kind") % 8 == PROSE, 1).otherwise(0)).alias("prose"), F.max(F.when(F.col("kind") % 16 >= 8, 1).otherwise(0)).alias("before"), at("label"), at("above"), at("above_label"),
+    )
     per_page = stage.write(per_page, "tokens")
     hosts = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     tokens = (
@@ -130,22 +139,36 @@ def deduce_template(stage: Stage, pages: DataFrame, min_share: float, min_pages:
         .agg(
             F.count("*").alias("support"),
             F.sum(F.shiftright(F.xxhash64("page", "n"), 20)).alias("vector"),
-            F.avg("first").alias("place"),
             F.max("heading").alias("heading"),
             F.avg("follow").alias("follow"),
         )
         .join(hosts, "host")
         .filter((F.col("support") >= min_pages) & (F.col("support") >= F.col("pages") * min_share))
-        .filter("heading = 0 or follow > 0.5")
-        .select("host", "token", "vector", "support", "place")
+        .select("host", "token", "vector", "support", "heading", "follow")
+    )
+    tokens = stage.write(tokens, "repeated")
+    repeated = lambda c: tokens.select("host", F.col("token").alias(c), F.lit(True).alias(f"{c}_repeated"))
+    own_prose = per_page.filter("prose = 1 and before = 0").join(tokens.select("host", "token"), ["host", "token"], "left_anti").join(repeated("label"), ["host", "label"], "left_anti")
+    ends = own_prose.groupBy("host", "page").agg(F.max("last").alias("end"))
+    placed = per_page.drop("heading", "follow").join(tokens.filter("heading = 0 or follow > 0.5"), ["host", "token"])
+    placed = placed.join(ends, ["host", "page"], "left").join(repeated("above"), ["host", "above"], "left").join(repeated("above_label"), ["host", "above_label"], "left")
+    runs_on = F.col("above").isNotNull() & F.col("above_repeated").isNull() & F.col("above_label_repeated").isNull()
+    inside = (F.col("before") == 0) & F.coalesce(F.col("first") < F.col("end"), F.lit(False))
+    share = lambda c: F.avg(c.cast("int")) > 0.5
+    nested = placed.groupBy("host", "token").agg(
+        F.max("before").alias("before"), share(inside).alias("inside"), (F.max("heading") == 1).alias("heading"), share(F.col("prose") == 1).alias("prose"), share(runs_on).alias("runs_on")
     )
-    placed = per_page.join(tokens.select("host", "token", "vector", "support"), ["host", "token"])
-    rank = F.row_number().over(Window.partitionBy("host", "page", "vector", "support").orderBy("first", "token"))
-    ordered = placed.withColumn("rank", rank).groupBy("host", "token").agg((F.min("rank") == F.max("rank")).alias("ordered"))
-    classes = tokens.join(ordered, ["host", "token"]).withColumn("ordered", F.min("ordered").over(Window.partitionBy("host", "vector", "support")))
-    own = classes.select("host", "token", F.when(F.col("ordered"), F.xxhash64("vector", "support")).otherwise(F.col("token")).alias("class_id"), "support", "place")
-    everywhere = own.groupBy("token").agg(F.countDistinct("host").alias("hosts"), F.sum("support").alias("support"), F.avg("place").alias("place")).filter("hosts >= 3")
-    return own.union(everywhere.select(F.lit(None).cast("string"), "token", F.col("token"), "support", "place"))
+    nested = stage.write(nested.withColumn("own_text", ~F.col("heading") & (F.col("prose") | F.col("runs_on"))).select("host", "token", "before", "inside", "own_text"), "nested")
+    group = ["host", "vector", "support", "before", "inside"]
+    ranked = placed.select("host", "token", "page", "first", "vector", "support").join(nested.select("host", "token", "before", "inside"), ["host", "token"])
+    rank = F.row_number().over(Window.partitionBy("page", *group).orderBy("first", "token"))
+    ordered = ranked.withColumn("rank", rank).groupBy("token", *group).agg((F.min("rank") == F.max("rank")).alias("ordered"))
+    classes = ordered.withColumn("ordered", F.min("ordered").over(Window.partitionBy(*group))).join(nested.select("host", "token", "own_text"), ["host", "token"])
+    classes = classes.withColumn("class_id", F.when(F.col("ordered"), F.xxhash64("vector", "support")).otherwise(F.col("token")))
+    valid = ~F.col("inside") | ~F.max("own_text").over(Window.partitionBy("host", "class_id", "before", "inside"))
+    own = classes.withColumn("valid", valid).filter("valid").select("host", "token")
+    everywhere = own.groupBy("token").agg(F.countDistinct("host").alias("hosts")).filter("hosts >= 3")
+    return own.union(everywhere.select(F.lit(None).cast("string"), "token"))
 
 
 def _classify(lines: list, hits: set[int]) -> list[int]:

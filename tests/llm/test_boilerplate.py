@@ -27,3 +27,22 @@ def test_frames_and_labels():
     assert label("Xem thêm: [L](U)") == "Xem thêm:" and label(">> Tên") == ">>" and label("> trích") is None
     kinds = [x[2] for x in read_page("# T\n```\ncode\n```\n$$\nx\n$$\n| a |\nchữ", "T")]
     assert kinds == [3, 4, 4, 4, 4, 4, 4, 4, 0]
+
+
+def test_article_lines_that_a_host_repeats_are_kept(spark):
+    def page(i):
+        lines = _page(i)[0].split("\n")
+        at = lines.index("## Điều trị")
+        shared = ["Người bệnh nên nghỉ ngơi đầy đủ, uống nhiều nước và tái khám đúng hẹn của bác sĩ.", "", f"- riêng {lines[4][-6:]}", "- uống đủ nước", ""] if i < 5 else []
+        label = [f"Lưu ý: người mắc {lines[4][-6:]} không nên tự ý ngừng thuốc khi chưa hỏi bác sĩ điều trị.", ""] if i % 2 else []
+        mark = ["Tài trợ", ""] if i % 3 == 0 else []
+        return "\n".join(lines[:at] + shared + label + mark + lines[at:])
+
+    pages = [(i, f"https://h.example/{i}", "h", page(i), _page(i)[1]) for i in range(12)]
+    df = spark.createDataFrame(pages, "item_id int, url string, source string, markdown string, title string")
+    got = {tuple(r) for r in boilerplate_lines(df, "item_id").collect()}
+    lines = {(i, no): x for i, _, _, m, _ in pages for no, x in enumerate(m.split("\n"), 1) if x}
+    gone = {x for k, x in lines.items() if k in got}
+    assert not any(x.startswith(("Người bệnh", "- uống", "- riêng", "Lưu ý")) for x in gone)
+    assert {"Tài trợ", "Quảng cáo", "Đọc nhiều", "## Xem tiếp"} <= gone
+    assert got == {k for k, x in lines.items() if x == "Tài trợ"} | {(i, n) for i, no in {i: page(i).split("\n").index("Quảng cáo") + 1 for i in range(12)}.items() for n in [1, 3, *range(no, len(page(i).split("\n")) + 1)] if (i, n) in lines}
