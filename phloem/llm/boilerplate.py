@@ -109,7 +109,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["key", "host", "page", "lines"])
 
 
-def deduce_template(stage: Stage, pages: DataFrame, min_share: float, min_pages: int) -> DataFrame:
+def deduce_template(stage: Stage, pages: DataFrame, min_pages: int) -> DataFrame:
     """(host, token): the tokens of the valid classes of each host's template, from the pages that ``_read`` gave.
 
     One row a host, page and token, with the token's count and first place; then the occurrence vector of a token is
@@ -117,7 +117,7 @@ def deduce_template(stage: Stage, pages: DataFrame, min_share: float, min_pages:
     the same vector that nest in the same gap are a class; where their order differs between pages the class fails and
     its tokens stand or fall alone. A token's role depends on the gaps of the one token that every page has, its title:
     before and after it are two tokens. After the title, the article's slot ends with the page's last prose line that
-    the host does not repeat. A class is valid if enough of the host's distinct pages hold it and it nests in a gap
+    the host does not repeat. A class is valid if ``min_pages`` of the host's distinct pages hold it, however many it has, and it nests in a gap
     outside that slot on most of them; inside the slot it is valid only as an insert, none of whose tokens is prose or
     runs on from a line of the article in the same block. A heading counts only where it opens a list or line directly
     on most pages, which an article's headings do not. A token valid for three hosts or more is also taken as template
@@ -133,7 +133,6 @@ def deduce_template(stage: Stage, pages: DataFrame, min_share: float, min_pages:
         F.max(F.when(F.col("kind") % 8 == PROSE, 1).otherwise(0)).alias("prose"), F.max(F.when(F.col("kind") % 16 >= 8, 1).otherwise(0)).alias("before"), at("label"), at("above"), at("above_label"),
     )
     per_page = stage.write(per_page, "tokens")
-    hosts = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     tokens = (
         per_page.groupBy("host", "token")
         .agg(
@@ -142,8 +141,7 @@ def deduce_template(stage: Stage, pages: DataFrame, min_share: float, min_pages:
             F.max("heading").alias("heading"),
             F.avg("follow").alias("follow"),
         )
-        .join(hosts, "host")
-        .filter((F.col("support") >= min_pages) & (F.col("support") >= F.col("pages") * min_share))
+        .filter(F.col("support") >= min_pages)
         .select("host", "token", "vector", "support", "heading", "follow")
     )
     tokens = stage.write(tokens, "repeated")
@@ -201,7 +199,7 @@ def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def boilerplate_lines(
-    pages: DataFrame, id_col: str, markdown: str = "markdown", title: str = "title", url: str = "url", source: str = "source", min_share: float = 0.01, min_pages: int = 4
+    pages: DataFrame, id_col: str, markdown: str = "markdown", title: str = "title", url: str = "url", source: str = "source", min_pages: int = 4
 ) -> DataFrame:
     """(id, line_no), distinct: every non-blank line of a page's Markdown outside its article. Lines count from 1.
 
@@ -222,7 +220,7 @@ def boilerplate_lines(
         F.col(markdown).alias("markdown"),
     )
     read = stage.write(keyed.select("key", "host", "page", "title", "markdown").mapInPandas(_read, _READ), "pages")
-    template = stage.write(deduce_template(stage, read, min_share, min_pages), "template")
+    template = stage.write(deduce_template(stage, read, min_pages), "template")
     local = template.filter("host is not null").select("host", "token", F.lit(True).alias("hit"))
     anywhere = template.filter("host is null").select("token", F.lit(True).alias("any"))
     lines = read.select("key", "host", F.explode("lines").alias("l"))

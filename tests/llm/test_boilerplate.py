@@ -46,3 +46,11 @@ def test_article_lines_that_a_host_repeats_are_kept(spark):
     assert not any(x.startswith(("Người bệnh", "- uống", "- riêng", "Lưu ý")) for x in gone)
     assert {"Tài trợ", "Quảng cáo", "Đọc nhiều", "## Xem tiếp"} <= gone
     assert got == {k for k, x in lines.items() if x == "Tài trợ"} | {(i, n) for i, no in {i: page(i).split("\n").index("Quảng cáo") + 1 for i in range(12)}.items() for n in [1, 3, *range(no, len(page(i).split("\n")) + 1)] if (i, n) in lines}
+
+
+def test_support_is_the_same_at_every_host_size(spark):
+    rare = "Đường dây nóng mùa dịch"
+    pages = [(i, f"https://h.example/{i}", "h", _page(i)[0] + (f"\n\n{rare}" if i < 5 else ""), _page(i)[1]) for i in range(600)]
+    df = spark.createDataFrame(pages, "item_id int, url string, source string, markdown string, title string")
+    want = {(i, len(pages[i][3].split("\n"))) for i in range(5)}
+    assert want <= {tuple(r) for r in boilerplate_lines(df, "item_id").collect()}
