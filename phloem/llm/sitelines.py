@@ -83,14 +83,8 @@ def shared_blocks(stage: Stage, places: DataFrame, min_docs: int) -> DataFrame:
     return found
 
 
-def site_lines(docs: DataFrame, id_col: str, source: str = "source", body: str = "body", min_docs: int = 5, min_lines: int = 1) -> DataFrame:
-    """(id, line_no), distinct: lines inside blocks of ``min_lines`` lines or more shared by ``min_docs`` articles of a source.
-
-    Lines agree after ``normal_line``; headings and lines without a letter never count and end a block, blank lines do
-    neither. Repeated rows and versions of one article count once. Nulls and empty bodies give nothing. Only names
-    (64-bit hashes of source and line) are shuffled: first a count of all names, which the map side combines, so that
-    what occurs too rarely leaves before any sort; a source with a third of all rows is spread by line names.
-    """
+def _version_lines(docs: DataFrame, id_col: str, source: str, body: str, min_docs: int, min_lines: int) -> DataFrame:
+    """(doc, id, line_no): ``site_lines`` of each version of a document; doc is the version's name in ``line_table``."""
     stage = Stage(docs.sparkSession, "sitelines")
     lines = stage.write(line_table(docs, id_col, source, body), "lines")
     often = lines.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("line")
@@ -100,16 +94,28 @@ def site_lines(docs: DataFrame, id_col: str, source: str = "source", body: str =
     stage.drop(lines)
     blocks = shared_blocks(stage, places, min_docs).filter(F.col("n_lines") >= min_lines)
     covered = blocks.select("doc", F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("n_lines") - 1)).alias("seq")).distinct()
-    return places.join(covered, ["doc", "seq"], "left_semi").select(F.col("id").alias(id_col), "line_no").distinct()
+    return places.join(covered, ["doc", "seq"], "left_semi").select("doc", "id", "line_no")
+
+
+def site_lines(docs: DataFrame, id_col: str, source: str = "source", body: str = "body", min_docs: int = 5, min_lines: int = 1) -> DataFrame:
+    """(id, line_no), distinct: lines inside blocks of ``min_lines`` lines or more shared by ``min_docs`` articles of a source.
+
+    Lines agree after ``normal_line``; headings and lines without a letter never count and end a block, blank lines do
+    neither. Repeated rows and versions of one article count once. Nulls and empty bodies give nothing. Only names
+    (64-bit hashes of source and line) are shuffled: first a count of all names, which the map side combines, so that
+    what occurs too rarely leaves before any sort; a source with a third of all rows is spread by line names.
+    """
+    return _version_lines(docs, id_col, source, body, min_docs, min_lines).select(F.col("id").alias(id_col), "line_no").distinct()
 
 
 def without_site_lines(docs: DataFrame, id_col: str, source: str = "source", body: str = "body", min_docs: int = 5, min_lines: int = 1) -> DataFrame:
     """``docs`` with the lines that ``site_lines`` finds taken out of each body; all rows and columns stay.
 
-    The numbers of a document's lines come back to it as one array, at most as long as the document.
+    The numbers of a document's lines come back to it as one array, at most as long as the document. Versions of one id
+    with different bodies or sources each lose their own lines only.
     """
-    found = site_lines(docs, id_col, source, body, min_docs, min_lines).groupBy(F.col(id_col).alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(found, F.col(id_col) == F.col("__id"), "left")
+    found = _version_lines(docs, id_col, source, body, min_docs, min_lines).groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
+    joined = docs.join(found, F.xxhash64(id_col, body, source) == F.col("__doc"), "left")
     numbered = F.transform(F.split(F.col(body), "\n"), lambda t, i: F.struct((i + 1).alias("no"), t.alias("text")))
     kept = F.transform(F.filter(numbered, lambda s: ~F.array_contains(F.col("__gone"), s["no"])), lambda s: s["text"])
-    return joined.withColumn(body, F.when(F.col("__gone").isNull(), F.col(body)).otherwise(F.array_join(kept, "\n"))).drop("__id", "__gone")
+    return joined.withColumn(body, F.when(F.col("__gone").isNull(), F.col(body)).otherwise(F.array_join(kept, "\n"))).drop("__doc", "__gone")

@@ -33,3 +33,10 @@ def test_against_plain_counts(spark):
     assert cleaned.count() == len(docs) and cleaned.columns == df.columns
     assert {r.body for r in cleaned.filter("source = 's4'").collect()} == {""}
     assert site_lines(df.limit(0), "article_id").count() == 0
+
+
+def test_versions_of_one_id_lose_their_own_lines_only(spark):
+    docs = [(f"a{i}", "s1", f"riêng {chr(97 + i)}\nđăng ký") for i in range(6)] + [("a0", "s1", "đăng ký\nnội dung mới"), ("a0", "s2", "mở đầu\nđăng ký")]
+    df = spark.createDataFrame(docs, "article_id string, source string, body string")
+    got = sorted(tuple(r) for r in without_site_lines(df, "article_id").collect())
+    assert got == sorted([(f"a{i}", "s1", f"riêng {chr(97 + i)}") for i in range(6)] + [("a0", "s1", "nội dung mới"), ("a0", "s2", "mở đầu\nđăng ký")])
