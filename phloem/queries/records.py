@@ -44,7 +44,7 @@ def _page_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _same_site_links(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "article_items").select("item_id", "url", F.explode(docs.links(F.col("markdown"), 30)).alias("target"))
+    rows = table(spark, d, "article_items").select("item_id", "url", F.explode(docs.links(F.col("markdown"))).alias("target"))
     return rows.filter(t.url_host("url") == t.url_host("target")).groupBy("item_id").agg(F.countDistinct("target").alias("n_links"))
 
 
