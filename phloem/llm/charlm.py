@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 20
 _M1, _M2, _M3 = 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D
 _MASK = (1 << 64) - 1
+#: Distinct words that a task holds before it hands on their counts.
+_HELD = 200_000
 
 
 def _mix(h):
@@ -30,26 +33,46 @@ def _ids(codes: np.ndarray) -> list[np.ndarray]:
     return [((h ^ (h >> np.uint64(15))) % np.uint64(BUCKETS)).astype(np.int64) for h in (one, two, three)]
 
 
-def words_as_codes(texts: list[str], form: str = "NFC") -> np.ndarray:
-    """Code points of the texts in one normal form, every run of blanks as one, which is also what separates words."""
-    joined = "  ".join(" ".join(unicodedata.normalize(form, t).split()) for t in texts)
-    return np.frombuffer(f"  {joined}  ".encode("utf-32-le"), dtype=np.uint32)
+def word_table(texts: DataFrame, reader: Callable[[], Callable[[str], list[str]]]) -> DataFrame:
+    """(word, n): how often each word stands in the column ``text`` of all rows.
 
+    ``reader()`` gives, once a task, the function that takes a text apart; empty words are not counted. A task adds its words up before they are
+    shuffled and hands on what it has whenever ``_HELD`` distinct words have gathered.
+    """
 
-def ngram_counts(texts: DataFrame, form: str = "NFC") -> np.ndarray:
-    """Counts of all 1- to 3-grams of the column ``text`` over all rows: summed on the executors, at most BUCKETS rows to the driver."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read, seen = reader(), Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                if text is not None:
+                    seen.update(read(text))
+                if len(seen) > _HELD:
+                    yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
+                    seen = Counter()
+        if seen:
+            yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())})
+
+    return texts.select("text").mapInPandas(count, "word string, n long").filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def ngram_counts(words: DataFrame, form: str = "NFC") -> np.ndarray:
+    """Counts of all 1- to 3-grams of a ``word_table``, each word between blanks: summed on the executors, at most BUCKETS rows to the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(BUCKETS, dtype=np.int64)
+        counts = np.zeros(BUCKETS)
         for batch in batches:
-            values = batch["text"].tolist()
-            for start in range(0, len(values), 200):
-                for ids in _ids(words_as_codes(values[start : start + 200], form)):
-                    counts += np.bincount(ids, minlength=BUCKETS)
+            if not len(batch):
+                continue
+            read = [unicodedata.normalize(form, w) for w in batch["word"]]
+            codes = np.frombuffer(("  " + "  ".join([*read, ""])).encode("utf-32-le"), dtype=np.uint32)
+            weights = np.repeat(batch["n"].to_numpy(), [len(w) + 2 for w in read])
+            weights = np.concatenate([weights[:1], weights[:1], weights])
+            for ids in _ids(codes):
+                counts += np.bincount(ids, weights[len(codes) - len(ids) :], BUCKETS)
         at = np.flatnonzero(counts)
-        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": counts[at]})
+        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": counts[at].astype(np.int64)})
 
-    summed = texts.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    summed = words.select("word", "n").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     got = summed.toArrow()
     counts = np.zeros(BUCKETS, dtype=np.float32)
     counts[np.asarray(got["bucket"])] = np.asarray(got["n"])
