@@ -28,3 +28,15 @@ def test_fields_do_not_mix_and_nulls(spark):
 def test_folding_keeps_real_differences():
     assert folded("x²") != folded("x2") and folded("β") != folded("b") and folded("A") != folded("a")
     assert folded("ｘ－１　") == "x-1 "
+
+
+def test_classes_link_what_pairs_link_and_a_hot_spelling_is_split(spark, monkeypatch):
+    import phloem.llm.lookalike as module
+
+    monkeypatch.setattr(module, "_HOLDERS", 7)
+    rows = [(f"h{i:03d}", "ho khan", ["sốt"], "x") for i in range(60)] * 2 + [("z1", "hо khan", [], "x"), ("z2", "hо khan", [], "x"), ("z3", "ho​ khan", None, "x")]
+    want = {("name", f"h{i:03d}", z) for i in range(60) for z in ("z1", "z2", "z3")} | {("name", "z1", "z3"), ("name", "z2", "z3")}
+    assert _pairs(spark, rows) == want
+    df = spark.createDataFrame(rows, "eid string, name string, aliases array<string>, id string")
+    got = [tuple(r) for r in module.alike_classes(df, "eid", ["name", "aliases"]).collect()]
+    assert len(got) == 63 and {r[1] for r in got} == {"ho khan"} and len({r[2] for r in got}) == 3
