@@ -14,11 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the training sample at most, and lists at most; both bound what the driver holds and what is broadcast.
-SAMPLE_ROWS, MAX_LISTS = 65_536, 8_192
+from phloem.storage import Stage
+
+#: Rows of the training sample for each list.
+SAMPLE_ROWS = 48
 _SCALE = 32_767.0
 
 
@@ -58,6 +60,69 @@ def train_lists(sample: np.ndarray, n_lists: int, rounds: int = 8, seed: int = 7
     return c
 
 
+def list_centroids(rows: DataFrame, n: int, dim: int, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of about 1.6 sqrt(n) lists, and the share of the sample in each; trained in two levels.
+
+    The driver trains the square root of the lists' number on SAMPLE_ROWS rows each; a sample of SAMPLE_ROWS rows a list
+    then goes to those, and each trains its part of the lists in a task of its own. The sample is chosen by a hash of the
+    id. Dense places have more upper centroids, so a task's sample stays near SAMPLE_ROWS times their number.
+    """
+    n_lists = math.ceil(1.6 * math.sqrt(n))
+    upper = math.ceil(math.sqrt(n_lists))
+
+    def part(want: int) -> DataFrame:
+        return rows if n <= want else rows.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, want / n)) + 1)
+
+    first = unit_rows(part(SAMPLE_ROWS * max(upper, 16)).select("vector").toArrow()["vector"], dim)[1] @ turn
+    if not len(first):
+        return np.zeros((0, dim), np.float32), np.zeros(0)
+    shared = rows.sparkSession.sparkContext.broadcast((turn, train_lists(first, min(upper, len(first)))))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, tops = shared.value
+        for batch in batches:
+            x = unit_rows(pa.concat_arrays([batch.column("vector")]), dim)[1] @ turn
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.argmax(x @ tops.T, axis=1).astype(np.int32)), pa.array([v.tobytes() for v in x], pa.binary())], names=["upper", "v"])
+
+    def train(table: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float32).reshape(-1, dim)
+        x = x[np.lexsort(x.T[:4])]  # the same order in every run
+        c = train_lists(x, max(1, round(len(x) / SAMPLE_ROWS)))
+        held = np.bincount(np.concatenate([np.argmax(x[i : i + 4096] @ c.T, axis=1) for i in range(0, len(x), 4096)]), minlength=len(c))
+        return pa.table({"c": pa.array([v.tobytes() for v in c.astype(np.float32)], pa.binary()), "held": pa.array(held.astype(np.int64))})
+
+    got = part(SAMPLE_ROWS * n_lists).select("vector").mapInArrow(assign, "upper int, v binary").groupBy("upper").applyInArrow(train, "c binary, held long").toArrow()
+    centroids = np.frombuffer(b"".join(got["c"].to_pylist()), np.float32).reshape(-1, dim)
+    held = np.asarray(got["held"], dtype=float)
+    return centroids.copy(), held / held.sum()
+
+
+def list_blocks(share: np.ndarray, n: int, block_rows: int) -> np.ndarray:
+    """Blocks of each list: more than one only above ``block_rows`` and four times the mean, so at most 1.25 a list in all."""
+    return np.maximum(1, np.ceil(share * n / max(block_rows, 4 * n / len(share)))).astype(np.int64)
+
+
+def apart(stage: Stage, rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows without those that have k + 1 equal vectors of smaller id before them, and what those rows get as neighbours.
+
+    Classes of equal vectors are found over the whole collection by two hashes of the vector, counted on the map side.
+    The second result is (id, neighbour, similarity) of the rows taken out, or None if there are none.
+    """
+    named = rows.withColumn("h", F.xxhash64("vector")).withColumn("g", F.hash("vector"))
+    often = stage.write(named.groupBy("h", "g").agg(F.count("*").alias("n")).filter(F.col("n") > k + 1).select("h", "g"), "often")
+    if not often.limit(1).count():
+        return rows, None
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    held = stage.write(named.join(often, ["h", "g"], "left_semi").filter(finite & F.exists("vector", lambda x: x != 0)).select("id", "h", "g").distinct(), "held")
+    place = F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))
+    first = stage.write(held.withColumn("place", place).filter(F.col("place") <= k + 1), "first")  # each task keeps k + 1 rows of a class before the shuffle
+    rest = stage.write(held.join(first.select("id", "h", "g"), ["id", "h", "g"], "left_anti"), "rest")
+    near = first.filter(F.col("place") <= k).select("h", "g", F.col("id").alias("neighbour"))
+    extra = rest.join(near, ["h", "g"]).select("id", "neighbour", F.lit(1.0).alias("similarity"))
+    return named.join(rest, ["id", "h", "g"], "left_anti").select("id", "vector"), extra
+
+
 def _first_copies(codes: np.ndarray, ids: np.ndarray, k: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
     """Equal vectors as classes (rows by class and id, where each class starts, each row's class), and whether a row is one of its class's first k + 1."""
     codes = np.ascontiguousarray(codes)
@@ -103,13 +168,14 @@ def scan_list(own: np.ndarray, foreign: np.ndarray, k: int, floor: float | None,
     top = np.float32(2.0 if floor is None else 2 - 2 * floor)
     top = top if floor is not None else np.float32(np.inf)
     cuts = list(range(block, dim, block)) + [dim]
-    part = [np.einsum("ij,ij->i", points[:, a:b], points[:, a:b]) for a, b in zip([0, *cuts[:-1]], cuts)]
+    columns = [np.ascontiguousarray(points[:, a:b]) for a, b in zip([0, *cuts[:-1]], cuts)]  # one array a block of dimensions
+    part = [np.einsum("ij,ij->i", c, c) for c in columns]
     for h0 in range(0, m, chunk):
         h1 = min(m, h0 + chunk)
         for q0 in range(h0, n, chunk):
             q1 = min(n, q0 + chunk)
             limit = np.minimum(top, np.maximum(best[1][q0:q1, -1][:, None], best[1][h0:h1, -1][None, :]))
-            d = part[0][q0:q1, None] + part[0][None, h0:h1] - 2 * (points[q0:q1, : cuts[0]] @ points[h0:h1, : cuts[0]].T)
+            d = part[0][q0:q1, None] + part[0][None, h0:h1] - 2 * (columns[0][q0:q1] @ columns[0][h0:h1].T)
             alive = d * (dim / cuts[0]) <= limit * (1 + epsilon / math.sqrt(cuts[0])) ** 2 if cuts[0] < dim else d <= limit
             if q0 < h1:
                 alive &= np.arange(q0, q1)[:, None] > np.arange(h0, h1)[None, :]
@@ -117,10 +183,10 @@ def scan_list(own: np.ndarray, foreign: np.ndarray, k: int, floor: float | None,
             dist = d[i, j]
             i, j = i + q0, j + h0
             for step in range(1, len(cuts)):
-                a, b = cuts[step - 1], cuts[step]
+                b = cuts[step]
                 if not len(i):
                     break
-                dist = dist + part[step][i] + part[step][j] - 2 * np.einsum("ij,ij->i", points[i, a:b], points[j, a:b])
+                dist = dist + part[step][i] + part[step][j] - 2 * np.einsum("ij,ij->i", columns[step][i], columns[step][j])
                 bound = limit[i - q0, j - h0]
                 keep = dist * (dim / b) <= bound * (1 + (epsilon / math.sqrt(b) if b < dim else 0)) ** 2
                 i, j, dist = i[keep], j[keep], dist[keep]
@@ -138,35 +204,34 @@ def nearest(
     similarity 1. min_similarity leaves out neighbours below it, which also abandons candidates earlier. Points of equal similarity go by id.
     An empty table, or one with no valid vector, gives no rows.
 
-    About sqrt(n) lists are trained on at most SAMPLE_ROWS rows; all rows are indexed. A point is copied, as 16-bit
-    fixed-point numbers, to those of its ``probes`` closest lists whose centroid is within ``delta`` of the closest
-    one's similarity. A pair is found if either point is copied to the other's list. Lists that the sample shows to be
-    larger than ``block_rows`` are split by id, and every probe of such a list goes to each of its blocks. Of equal
-    vectors only the k + 1 with the smallest ids are compared with anything; the rest have those as neighbours, so that
-    copies, however many, cost no pairs.
+    1.6 sqrt(n) lists are trained on SAMPLE_ROWS rows each (``list_centroids``); all rows are indexed. A point is copied,
+    as 16-bit fixed-point numbers, to those of its ``probes`` closest lists whose centroid is within ``delta`` of the
+    closest one's similarity. A pair is found if either point is copied to the other's list. Lists that the sample shows
+    to have more than ``block_rows`` rows, or more than four times the mean where that is larger, are split by id, and
+    every probe of such a list goes to each of its blocks; so the copies of a row do not grow with n, and the work grows
+    as n to the power of 1.5. The centroids are broadcast: 4 * dim * 1.6 sqrt(n) bytes, 20 MB for a billion rows.
+    Of rows with equal vectors only the k + 1 with the smallest ids are compared with anything (``apart``); the rest have
+    those as neighbours, so that copies, however many, cost no pairs.
     """
     spark = points.sparkSession
     rows = points.select(F.col(id_col).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vector")).filter((F.size("vector") == dim) & F.col("id").isNotNull())
+    stage = Stage(spark, "nearest")
+    rows, extra = apart(stage, rows, k)
     n = max(1, rows.count())
-    n_lists = int(min(MAX_LISTS, max(1, math.ceil(1.6 * math.sqrt(n)))))
-    want = min(SAMPLE_ROWS, 48 * n_lists)
-    part = rows if n <= want else rows.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < int(1e6 * want / n) + 1)
     turn = rotation(dim)
-    sample = unit_rows(part.select("vector").toArrow()["vector"], dim)[1] @ turn
-    if not len(sample):
+    centroids, share = list_centroids(rows, n, dim, turn)
+    if not len(centroids):
         return spark.createDataFrame([], f"{id_col} string, neighbour string, similarity double")
-    n_lists = min(n_lists, len(sample))
-    centroids = train_lists(sample, n_lists)
-    share = np.bincount(np.concatenate([np.argmax(sample[i : i + 4096] @ centroids.T, axis=1) for i in range(0, len(sample), 4096)]), minlength=n_lists) / len(sample)
-    n_blocks = np.maximum(1, np.ceil(share * n / block_rows)).astype(np.int64)
+    n_blocks = list_blocks(share, n, block_rows)
     shared = spark.sparkContext.broadcast((turn.astype(np.float64), centroids, n_blocks))
     schema = "list int, block int, id string, own boolean, v binary"
+    step = max(64, min(4096, (1 << 25) // len(centroids)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, centroids, n_blocks = shared.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                batch = whole.slice(start, 4096)
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
                 at, x = unit_rows(pa.concat_arrays([batch.column("vector")]), dim)
                 names = np.array(batch.column("id").take(pa.array(at)).to_pylist(), dtype=object)
                 if len(set(names)) < len(names):  # repeated rows are one point
@@ -235,7 +300,8 @@ def nearest(
     names = F.transform("c", lambda x: x["n"])
     kept = F.slice(F.filter("c", lambda x, i: F.array_position(names, x["n"]) == i + 1), 1, k)
     out = each.select(F.col("id").alias(id_col), F.explode(kept).alias("x"))
-    return out.select(id_col, F.col("x.n").alias("neighbour"), (-F.col("x.d")).cast("double").alias("similarity"))
+    out = out.select(id_col, F.col("x.n").alias("neighbour"), (-F.col("x.d")).cast("double").alias("similarity"))
+    return out if extra is None else out.unionByName(extra.withColumnRenamed("id", id_col))
 
 
 def neighbour_pairs(found: DataFrame, id_col: str, min_similarity: float) -> DataFrame:

@@ -56,3 +56,30 @@ def test_many_copies_of_one_vector(spark):
     assert set(copies.neighbour) == smallest and (copies.id != copies.neighbour).all()
     others = found[found.id.str.startswith("p")]
     assert others.groupby("id").size().eq(5).all()
+
+
+def test_copies_are_taken_apart_over_the_whole_collection(spark):
+    from phloem.llm.knn import apart
+    from phloem.storage import Stage
+
+    rows = [(f"c{i:04d}", [1.0] * 8) for i in range(300)] + [(f"z{i}", [0.0] * 8) for i in range(20)] + [(f"p{i}", [float(i)] * 8) for i in range(2, 5)] + [("c0299", [1.0] * 8)]
+    df = spark.createDataFrame(rows, "id string, vector array<float>").repartition(7)
+    left, extra = apart(Stage(spark, "t"), df, 5)
+    assert {r.id for r in left.collect()} == {f"c{i:04d}" for i in range(6)} | {f"z{i}" for i in range(20)} | {f"p{i}" for i in range(2, 5)}
+    got = extra.toPandas()
+    assert len(got) == 294 * 5 and set(got.neighbour) == {f"c{i:04d}" for i in range(5)}
+
+
+def test_lists_and_blocks_at_growing_sizes(spark):
+    from phloem.llm.knn import list_blocks, list_centroids, rotation
+
+    for n in (3000, 30000):
+        x = _clusters(n)
+        df = spark.createDataFrame([(f"p{i:06d}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<float>")
+        c, share = list_centroids(df, len(x), 32, rotation(32))
+        assert 0.5 < len(c) / (1.6 * math.sqrt(len(x))) < 2 and math.isclose(share.sum(), 1)
+    rng = np.random.default_rng(4)
+    for n in (10**5, 10**7, 10**9, 10**10):
+        share = rng.pareto(1.1, math.ceil(1.6 * math.sqrt(n)))
+        blocks = list_blocks(share / share.sum(), n, 8192)
+        assert blocks.sum() <= 1.25 * len(blocks) + 1 and (share / share.sum() * n / blocks).max() <= max(8192, 4 * n / len(blocks))
