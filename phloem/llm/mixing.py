@@ -57,14 +57,35 @@ def budgets(sizes: DataFrame, targets: DataFrame, total: int | None, source: str
     return capped.withColumn("certain", certain).withColumn("rest", F.col("budget") - F.col("certain") * F.col("available"))
 
 
+def inclusion_scales(stage: Stage, rows: DataFrame) -> DataFrame:
+    """(source, scale): inclusion probabilities min(1, scale * weight) make a sample of expected size ``rest``.
+
+    Records that reach 1 are certain; what they leave of the rest is allotted to the others anew, until no record
+    becomes certain any more. Scales only grow, so every pass but the last makes at least one record certain; one row a
+    listed source is written in each. A source whose positive weights are all certain has no scale (null).
+    """
+    scales = rows.select("source", "rest").distinct().select("source", F.lit(0.0).alias("scale"), F.lit(-1).cast("long").alias("certain"))
+    while True:
+        sure = F.coalesce(F.col("weight") * F.col("scale") >= 1, F.lit(False))
+        summed = rows.join(scales.select("source", "scale"), "source").groupBy("source").agg(
+            F.max("rest").alias("rest"), F.sum(F.when(sure, F.col("size")).otherwise(0)).alias("held"), F.sum(F.when(sure, 0.0).otherwise(F.col("weight") * F.col("size"))).alias("open"), F.count_if(sure).alias("now")
+        )
+        scale = F.when(F.col("open") > 0, F.greatest(F.lit(0.0), F.col("rest") - F.col("held")) / F.col("open"))
+        following = stage.write(summed.join(scales.select("source", F.col("scale").alias("was"), "certain"), "source").select("source", F.coalesce(F.greatest("was", scale), "was").alias("scale"), F.col("now").alias("certain"), (F.col("now") > F.col("certain")).alias("moved")), "scales")
+        if not following.filter("moved").limit(1).count():
+            return following.select("source", "scale")
+        scales = following
+
+
 def mix(docs: DataFrame, targets: DataFrame, id_col: str, size: str = "tokens", source: str = "source", share: str = "target_share", repeats: str = "max_repeats", total: int | None = None, seed: int = 1, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(records with ``copies``, report a listed source).
 
     Every record of a source gets the certain copies, and the budget's rest is filled with one more copy of some: each
-    record's inclusion probability is the rest's share of the source's size, times ``weight`` relative to the source's
-    mean if one is named, at most 1; records are ranked by the odds of a random number, hashed from id and seed, divided
-    by their inclusion odds (Pareto order sampling), and taken in that order up to the record whose end is closest to the
-    rest. So the sample's size is fixed to within half a record, the choice is the same in every run, and more budget only adds records.
+    record's inclusion probability is its ``weight`` (the column named, or 1) times a scale of its source, at most 1, such
+    that the expected size is the rest (``inclusion_scales``); records are ranked by the odds of a random number, hashed
+    from id and seed, divided by their inclusion odds (Pareto order sampling), and taken in that order up to the record
+    whose end is closest to the rest. So the sample's size is fixed to within half a record, the choice is the same in every run, and
+    records of probability 1 come first. A weight that is null, NaN or not positive comes last, when nothing else is left.
     Records without a source, of an unlisted source, or of size 0 or null are not used; no record gets more than
     max_repeats copies. Only listed sources are broadcast, if the optimizer finds them small. Repeated rows are records
     of their own. Where some sources hold too little, the mix falls short of its size: the report has each source's
@@ -72,14 +93,13 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str, size: str = "tokens",
     """
     stage = Stage(docs.sparkSession, "mixing")
     plan = stage.write(budgets(docs, targets, total, source, size, share, repeats), "plan")
-    used = docs.filter(F.col(size) > 0).select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"))
-    rows = used.join(plan.filter("budget > 0").select("source", "certain", "rest", "available", "max_repeats"), "source")
-    if weight:
-        means = used.groupBy("source").agg((F.sum(F.col("weight") * F.col("size")) / F.sum("size")).alias("mean"))
-        rows = rows.join(means, "source").withColumn("weight", F.col("weight") / F.col("mean")).drop("mean")
-    pi = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("rest") / F.col("available") * F.col("weight")))
+    own = F.col(weight).cast("double") if weight else F.lit(1.0)
+    used = docs.filter(F.col(size) > 0).select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"), F.when((own > 0) & ~F.isnan(own), own).otherwise(0.0).alias("weight"))
+    rows = stage.write(used.join(plan.filter("budget > 0").select("source", "certain", "rest", "max_repeats"), "source"), "rows")
+    rows = rows.join(inclusion_scales(stage, rows), "source")
+    pi = F.least(F.lit(1.0), F.greatest(F.lit(1e-12), F.col("scale") * F.col("weight")))
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-    ranked = rows.withColumn("odds", (u / (1 - u)) / (pi / (1 - pi)))
+    ranked = rows.withColumn("odds", F.when(F.col("rest") > 0, (u / (1 - u)) * (1 - pi) / pi).otherwise(0.0)).drop("scale")
     summed = running_total(ranked, "source", ["odds", "id"], "size", stage, "reached")
     extra = ((F.col("reached") - F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0) & (F.col("certain") < F.col("max_repeats"))).cast("int")
     chosen = stage.write(summed.select("id", "source", F.col("size").alias("tokens"), (F.col("certain") + extra).alias("copies")).filter("copies > 0"), "chosen")

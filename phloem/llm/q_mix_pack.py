@@ -25,11 +25,12 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id")[0]
+    """Inclusion probabilities within a source are in proportion to the records' sizes."""
+    return mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id", weight="tokens")[0]
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id")[1]
+    return mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id", weight="tokens")[1]
 
 
 QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill, "p9_mixed": p9_mixed, "p9_shares": p9_shares}

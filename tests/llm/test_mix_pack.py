@@ -113,7 +113,7 @@ def test_inclusion_is_in_proportion_to_weight(spark):
     df = spark.createDataFrame([(f"d{i}", "s", 10, w) for i, w in enumerate(weights)], "doc string, source string, tokens int, w double").coalesce(1)
     targets = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
     taken = Counter()
-    rounds = 24
+    rounds = 10
     for seed in range(rounds):
         rows = mix(df, targets, "doc", total=390, seed=seed, weight="w")[0].collect()
         assert sum(r.tokens * r.copies for r in rows) == 390
@@ -121,7 +121,7 @@ def test_inclusion_is_in_proportion_to_weight(spark):
     scale = 36 / (60 + 120)  # 3 of 39 records are certain, the others share 36
     light, heavy = sum(taken[i] for i in range(60)) / 60 / rounds, sum(taken[i] for i in range(60, 90)) / 30 / rounds
     assert all(taken[i] == rounds for i in (90, 91, 92)) and not any(taken[i] for i in (93, 94, 95))
-    assert abs(light - scale) < 0.05 and abs(heavy - 4 * scale) < 0.08
+    assert abs(light - scale) < 0.06 and abs(heavy - 4 * scale) < 0.1
 
 
 def test_token_sizes(spark):
