@@ -31,7 +31,8 @@ _ESCAPED = re.compile(r"&lt;/?[A-Za-z!]")
 _WIKI_LINK = re.compile(r"\[\[(?!\^?\d+\]\]?\()[^\[\]]+(?:\]\]|$)|^[^\[\]]*\]\]")
 _WIKI_TEMPLATE = re.compile(r"\{\{[^{}]*(?:\}\}|$)")
 _WIKI_QUOTE = re.compile(r"'{2,5}[^'\n]+'{2,5}")
-_WIKI_HEADING = re.compile(r"^\s*(={2,6})[^=].*?\1\s*$")
+_WIKI_HEADING = re.compile(r"^\s*(={2,6}).*\1\s*$")
+_WORD = re.compile(r"\S*\w\S*")
 _WIKI_EXTERNAL = re.compile(r"(?<!\[)\[(?:https?:)?//[^\s\]]+(?: [^\]]*)?\](?![(\[])")
 _WIKI_WORD = re.compile(r"__[A-Z]{3,}__|^\s*#(?:REDIRECT|redirect)\b|~{4}")
 _LATEX = re.compile(r"\\(?:begin|end)\s*\{[A-Za-z*]+\}|(?<![A-Za-z0-9:\\])\\[A-Za-z]+\*?(?![A-Za-z\\])|(?<=[A-Za-z0-9])\\[A-Za-z]+\*?(?=\{)")
@@ -46,8 +47,8 @@ FEATURES = (
 
 
 def _size(line: str) -> tuple[int, float]:
-    """Words of a line, and the share of them inside links."""
-    words = len(line.split())
+    """Words of a line that hold a letter or digit, and the share of them inside links."""
+    words = len(_WORD.findall(line))
     if not words or ("](" not in line and "://" not in line):
         return words, 0.0
     return words, min(1.0, sum(len((m.group(1) or "x").split()) for m in _LINKED.finditer(line)) / words)
@@ -139,6 +140,7 @@ LABELLED = (
     ('{| class="wikitable"\n! Tên !! Mức\n|-\n| ho || nặng\n|}\n\n| a | b |\n|---|---|\n| 1 | 2 |', "wwwww...."),
     ("=== Điều trị ===\nThuốc bôi [https://vidu.example/a trang này] mỗi ngày.\nXem [trang này](https://vidu.example/a).\n[[Tập tin:a.jpg|nhỏ|Hình một]]\n![hình](a.png)", "ww.w."),
     ("{{Thông tin\n| tên = Viêm\n| nhóm = da\n}}\nCâu thường ''nghiêng'' ở đây.\nGóc 5' và 10'' là đủ.", "wwwww."),
+    ("Nguyên nhân\n===========\nCâu thường.\n\nBiểu hiện\n======\nChia hai cột a == b.\n==Mục==\n==== Mục sâu hơn ====\n====\nHết.", ".......ww.."),
     ("__TOC__\n'''Đậm'''\nxyz [[liên kết]] cuối.\nDanh sách [1], [2–4].\n[//vidu.example nhãn] sau.\nKết thúc.", "www.w."),
     ('{| border="1"\n|-\n! Thuốc\n| viên\n| gói || lọ\n|}', "wwwwww"),
     ("\\section{Mở đầu}\nTheo \\cite{a}, bệnh \\emph{nhẹ}.\n$I_x = \\frac{a}{b}$ là chỉ số.\n\\textbf{Lưu ý}\nĐường dẫn C:\\du\\lieu.", "ll.l."),
@@ -227,40 +229,159 @@ def _clean_line(line: str) -> str:
     return html.unescape(line).replace("\xa0", " ")
 
 
-def clean_markup(text: str) -> str:
-    """Clean Markdown of a text: tags, references, wiki and LaTeX syntax become Markdown or vanish; headings, lists, tables stay.
-
-    Code and formulas are kept as they are. Blank lines are at most one in a row.
-    """
-    lines = text.split("\n")
-    out: list[str] = []
-    table = False
-    for line, seen in zip(lines, visible(lines)):
-        if seen is None:
-            out.append(line)
-            continue
+#: LaTeX environments by what they hold.
+_FORMULAS = ("equation", "align", "gather", "multline", "eqnarray", "displaymath", "math", "flalign", "alignat")
+_LISTINGS = ("verbatim", "lstlisting", "minted")
+_TABLES = ("tabular", "tabularx", "array", "longtable")
+_BEGIN = re.compile(r"\\begin\s*\{([A-Za-z]+)\*?\}")
+_SPANS = (("<!--", "-->"), ("<script", "</script"), ("<style", "</style"))
+
+
+class _Cleaner:
+    """Clean Markdown of one text. A block that starts in one line and ends in another is a state; the rest goes line by line."""
+
+    def __init__(self) -> None:
+        self.out: list[str] = []
+        self.until = ""  # what ends a comment, script or style that is left out
+        self.braces = 0  # open wiki templates
+        self.environment = ""  # formula, listing or table environment of LaTeX
+        self.columns = 0  # of the LaTeX table that is open, or -1 before its first row
+        self.pre = self.table = False
+
+    def opens(self) -> bool:
+        return bool(self.until or self.braces or self.environment or self.pre or self.table)
+
+    def line(self, line: str) -> None:
+        if self.until:
+            at = line.lower().find(self.until)
+            if at < 0:
+                return
+            line = line[at + len(self.until) :]
+            line, self.until = line[line.find(">") + 1 :] if self.until.startswith("</") else line, ""
+            if not line.strip():
+                return
+        if self.pre:
+            at = line.lower().find("</pre>")
+            self.out += [html.unescape(_TAG.sub("", line if at < 0 else line[:at]))] * (at != 0)
+            if at >= 0:
+                self.out.append("```")
+                self.pre = False
+                if line[at + 6 :].strip():
+                    self.line(line[at + 6 :])
+            return
+        if self.environment:
+            return self._inside(line)
+        if self.braces or ("{{" in line and line.count("{{") > line.count("}}")):
+            return self._template(line)
+        low = line.lower()
+        for start, end in _SPANS:
+            at = low.rfind(start)
+            if at >= 0 and end not in low[at:] and not (start == "<!--" and "`" in line[:at]):
+                self.until = end
+                if line[:at].strip():
+                    self._plain(line[:at])
+                return
+        at = low.find("<pre")
+        if at >= 0 and (found := re.match(r"<pre(?:\s[^<>]*)?>", low[at:])):
+            if line[:at].strip():
+                self._plain(line[:at])
+            self.out.append("```")
+            self.pre = True
+            rest = line[at + found.end() :]
+            if rest.strip():
+                self.line(rest)
+            return
+        found = _BEGIN.search(line)
+        if found and found.group(1) in (*_FORMULAS, *_LISTINGS, *_TABLES):
+            if line[: found.start()].strip():
+                self._plain(line[: found.start()])
+            self.environment, self.columns = found.group(1), -1
+            rest = line[found.end() :]
+            if self.environment in _TABLES:
+                rest = re.sub(r"^(?:\s*\[[^\]]*\])?(?:\s*\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\})*", "", rest)
+            else:
+                self.out.append("$$" if self.environment in _FORMULAS else "```")
+            if rest.strip():
+                self._inside(rest)
+            return
+        self._wiki_table(line) or self._plain(line)
+
+    def _template(self, line: str) -> None:
+        """Leave out a wiki template of several lines; what stands before and after it on its lines stays."""
+        kept = []
+        for piece in re.split(r"(\{\{|\}\})", line):
+            self.braces += (piece == "{{") - (piece == "}}" and self.braces > 0)
+            if not self.braces and piece != "}}":
+                kept.append(piece)
+        if "".join(kept).strip():
+            self._plain("".join(kept))
+
+    def _inside(self, line: str) -> None:
+        found = re.search(r"\\end\s*\{" + self.environment + r"\*?\}", line)
+        text = line[: found.start()] if found else line
+        if self.environment in _TABLES:
+            for row in re.split(r"\\\\(?:\[[^\]]*\])?", re.sub(r"\\(?:hline|toprule|midrule|bottomrule|cline\{[^{}]*\})", "", text)):
+                if row.strip():
+                    cells = [_clean_math(c.strip()).strip() for c in re.split(r"(?<!\\)&", row)]
+                    self.out.append("| " + " | ".join(cells) + " |")
+                    if self.columns < 0:
+                        self.columns = len(cells)
+                        self.out.append("|" + "---|" * len(cells))
+        elif text.strip():
+            self.out.append(text)
+        if found:
+            if self.environment not in _TABLES:
+                self.out.append("$$" if self.environment in _FORMULAS else "```")
+            self.environment = ""
+            if line[found.end() :].strip():
+                self.line(line[found.end() :])
+
+    def _wiki_table(self, line: str) -> bool:
         start = line.strip()
-        if start.startswith("{|") or (table and start.startswith("|}")):
-            table = start.startswith("{|")
-            continue
-        if table:
-            if start.startswith("|-") or not start:
-                continue
+        if start.startswith("{|") or (self.table and start.startswith("|}")):
+            self.table = start.startswith("{|")
+            return True
+        if not self.table:
+            return False
+        if not start.startswith("|-") and start:
             cells = [c.strip() for c in re.split(r"\|\||!!", start.lstrip("|!"))]
-            out.append("| " + " | ".join(_clean_line(c) for c in cells) + " |")
+            self.out.append("| " + " | ".join(_clean_math(c) if c else "" for c in cells) + " |")
             if start.startswith("!"):
-                out.append("|" + "---|" * len(cells))
-            continue
-        if re.match(r"\s*\\(?:begin|end)\s*\{[A-Za-z*]+\}", line) or re.match(r"\s*</?(?:ul|ol|table|tbody|thead|div)(?:\s[^<>]*)?>\s*$", line, re.IGNORECASE):
-            continue
-        kept, at, pieces = _CODE.finditer(line), 0, []
-        for m in kept:  # inline code stays as it is
+                self.out.append("|" + "---|" * len(cells))
+        return True
+
+    def _plain(self, line: str) -> None:
+        if re.match(r"\s*\\(?:begin|end)\s*\{[A-Za-z*]+\}\s*(?:\[[^\]]*\])?\s*$", line) or re.match(r"\s*</?(?:ul|ol|table|tbody|thead|div)(?:\s[^<>]*)?>\s*$", line, re.IGNORECASE):
+            return
+        at, pieces = 0, []
+        for m in _CODE.finditer(line):  # inline code stays as it is
             pieces += [_clean_math(line[at : m.start()]) if line[at : m.start()] else "", m.group()]
             at = m.end()
         rest = line[at:]
         done = "".join(pieces) + (_clean_math(rest) if rest else "")
-        out += [x for x in done.split("\n") if x.strip() or not line.strip()] if done.strip() or not line.strip() else []
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out))
+        if done.strip():
+            self.out += [x for x in done.split("\n") if x.strip()]
+
+
+def clean_markup(text: str, trees: dict[str, Tree] | None = None) -> str:
+    """Clean Markdown of a text: tags, references, wiki and LaTeX syntax become Markdown or vanish; headings, lists, tables stay.
+
+    Only lines that the trees find markup in are changed, and those inside a block that such a line opens: comments,
+    scripts and wiki templates vanish to their end, ``pre`` and listings become fenced code, formula environments ``$$``
+    lines, wiki and LaTeX tables Markdown tables. Code and formulas are kept as they are. A block that never ends reaches
+    the text's end. Blank lines are at most one in a row.
+    """
+    trees = trees or trained()
+    lines, cleaner = text.split("\n"), _Cleaner()
+    dirty = {no for no, _ in kinds_by_line(text, trees)}
+    for no, (line, seen) in enumerate(zip(lines, visible(lines)), 1):
+        if cleaner.opens() or (no in dirty and seen is not None):
+            cleaner.line(line)
+        else:
+            cleaner.out.append(line)
+    if cleaner.pre or (cleaner.environment and cleaner.environment not in _TABLES):
+        cleaner.out.append("$$" if cleaner.environment in _FORMULAS else "```")
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(cleaner.out))
 
 
 def _clean_math(text: str) -> str:
@@ -273,5 +394,6 @@ def _clean_math(text: str) -> str:
 
 def clean_texts(texts: DataFrame, text: str) -> DataFrame:
     """The table with ``text`` as clean Markdown; null stays null, and all other columns and rows are kept."""
-    clean = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else clean_markup(t)), "string")
+    trees = trained()
+    clean = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else clean_markup(t, trees)), "string")
     return texts.withColumn(text, clean(F.col(text)))

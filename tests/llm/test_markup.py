@@ -42,3 +42,35 @@ def test_clean_keeps_structure():
     assert clean_markup(dirty) == "# Tên\n\nMột **hai** ba\n## Mục\n| A | B |\n|---|---|\n| 1 | 2 |\n- ho\n- sốt\n```\n<b>giữ</b>\n```\n$$\nx_{1}\n$$\nchỉ số $\\frac{a}{b}$ và `\\item`"
     again = clean_markup(dirty)
     assert clean_markup(again) == again
+
+
+def test_blocks_over_several_lines_are_cleaned_as_blocks():
+    cases = {
+        "\\begin{equation}\nx = \\frac{a}{b}\n\\end{equation}": "$$\nx = \\frac{a}{b}\n$$",
+        "x \\begin{align*} a &= b \\\\ c \\end{align*} y": "x \n$$\n a &= b \\\\ c \n$$\n y",
+        "<!-- mở\nvẫn trong ghi chú\nđóng -->\nsau": "sau",
+        "{{Thông tin\n| tên = Viêm\n| nhóm = {{a}}\n}}\nCâu ''nghiêng''": "Câu *nghiêng*",
+        "<pre>\na < b\n  c &lt;d&gt;\n</pre>\nx": "```\na < b\n  c <d>\n```\nx",
+        "<pre>một</pre> hai": "```\nmột\n```\n hai",
+        "<script>\nvar x=1;\n</script>\nrest": "rest",
+        "<style>a\nb</style>z <b>k</b>": "z **k**",
+        "\\begin{tabular}{ll}\n\\hline\nho & nặng \\\\\nsốt & nhẹ \\\\\n\\end{tabular}": "| ho | nặng |\n|---|---|\n| sốt | nhẹ |",
+        "`<!--` và <b>x</b>\nsau": "`<!--` và **x**\nsau",
+        "Nguyên nhân\n===\n[1] không & đổi < 5": "Nguyên nhân\n===\n[1] không & đổi < 5",
+        "<!-- không đóng\nmất": "",
+        "<pre>không đóng\nx": "```\nkhông đóng\nx\n```",
+    }
+    trees = trained()
+    for dirty, clean in cases.items():
+        assert clean_markup(dirty, trees) == clean, dirty
+
+
+def test_the_trees_decide_by_words_too():
+    from phloem.llm.markup import FEATURES
+
+    def used(node):
+        return set() if len(node) == 1 else {FEATURES[node[0]]} | used(node[2]) | used(node[3])
+
+    trees = trained()
+    assert "words" in used(trees["wiki"].node)
+    assert {k for _, k in kinds_by_line("Mục\n=======", trees)} == set() and {k for _, k in kinds_by_line("==Mục==", trees)} == {"wiki"}
