@@ -48,8 +48,12 @@ def relation_kind(c: str = "relation_type") -> Column:
 
 
 def merged_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """One row a relation whose ends both exist: first non-empty description by time, largest confidence within 0..1, else 1."""
-    said = F.when(F.trim(F.coalesce("description", F.lit(""))) != "", F.col("description"))
+    """One row a relation whose ends both exist: first non-empty texts by time, largest confidence within 0..1, else 1."""
+
+    def said(c: str) -> Column:
+        there = F.trim(F.coalesce(c, F.lit(""))) != ""
+        return F.min(F.when(there, F.struct("ingested_at", F.col(c).alias("text")))).getField("text").alias(c)
+
     merged = (
         relations.filter("relation_id is not null")
         .groupBy("relation_id")
@@ -58,7 +62,7 @@ def merged_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
             F.min("object_entity_id").alias("object_entity_id"),
             F.min(relation_kind()).alias("relation_type"),
             F.coalesce(F.max(F.when(F.col("confidence").between(0, 1), F.col("confidence"))), F.lit(1.0)).alias("confidence"),
-            F.min(F.when(said.isNotNull(), F.struct("ingested_at", F.col("description").alias("text")))).getField("text").alias("description"),
+            *[said(c) for c in ("description", "evidence_text", "section", "source_url")],
         )
     )
     ids = entities.select("entity_id")
@@ -170,15 +174,29 @@ def graph_stats(articles: DataFrame, chunks: DataFrame, entities: DataFrame, rel
     return reduce(DataFrame.union, each).agg(*[F.max(F.when(F.col("t") == n, F.col("n"))).alias(n) for n in names])
 
 
+#: Questions of one lexical batch.
+MAX_QUESTIONS = 4096
+
+
+def with_names(relations: DataFrame, entities: DataFrame, *columns: str) -> DataFrame:
+    """Relations with columns of their ends, as subject_... and object_...; ``name`` and ``entity_type`` (as ..._type) come always."""
+    each = {"name": "name", "entity_type": "type"} | {c: c for c in columns}
+    end = lambda p: entities.select(F.col("entity_id").alias(f"{p}_entity_id"), *[F.col(c).alias(f"{p}_{n}") for c, n in each.items()])
+    return relations.join(end("subject"), "subject_entity_id").join(end("object"), "object_entity_id")
+
+
 def lexical_scores(texts: DataFrame, rows: DataFrame, weights: dict[str, int], id_col: str, block: int = 256) -> DataFrame:
     """(query_id, id, score > 0): the weights of the fields that hold a query's text, in lower case.
 
     A field is a string, or an array of which any element counts; nulls hold nothing, and blank texts ask for nothing.
-    ``texts`` (query_id, text) is a batch of questions: it goes through in blocks of literals, so the rows are scanned
-    once a block and nothing is joined.
+    ``texts`` (query_id, text) is a batch of at most MAX_QUESTIONS questions, more is an error: it goes through in blocks
+    of literals, so the rows are scanned once a block and nothing is joined.
     """
     kinds = dict(rows.dtypes)
-    asked = [(r["query_id"], r["q"]) for r in texts.select("query_id", F.lower(F.trim("text")).alias("q")).filter("q <> ''").orderBy("query_id").collect()]
+    asked = [(r["query_id"], r["q"]) for r in texts.select("query_id", F.lower(F.trim("text")).alias("q")).filter("q <> ''").limit(MAX_QUESTIONS + 1).collect()]
+    if len(asked) > MAX_QUESTIONS:
+        raise ValueError(f"a batch holds at most {MAX_QUESTIONS} questions")
+    asked.sort(key=lambda x: str(x[0]))
     if not asked:
         return rows.select(F.lit(None).cast(dict(texts.dtypes)["query_id"]).alias("query_id"), F.col(id_col), F.lit(0).alias("score")).filter("false")
 

@@ -20,8 +20,8 @@ def pagerank(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
 
     seeds (query_id, entity_id, score), edges (query_id, source, target, weight). Parallel edges add up, undirected ones
     count both ways (a loop twice), weights that are null are 1, those not above 0 are dropped. Nodes without outgoing
-    weight give their rank back to the seeds. Stops after ``iterations``, or once the ranks of all queries together move
-    by no more than ``tolerance``. Edges are normalised and written once; every iteration's ranks are written to the
+    weight give their rank back to the seeds. A query stops after ``iterations``, or once its own ranks together move by
+    no more than ``tolerance``, so its result does not depend on the batch it is in. Edges are normalised and written once; every iteration's ranks are written to the
     shared folder, so the lineage is one iteration deep.
     """
     stage = Stage(seeds.sparkSession, "pagerank")
@@ -34,21 +34,29 @@ def pagerank(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     start = stage.write(normalized(seeds.groupBy("query_id", "entity_id").agg(F.max("score").alias("score"))).select("query_id", "entity_id", F.col("score").alias("p")), "start")
     sources = steps.select("query_id", F.col("source").alias("entity_id")).distinct()
     rank = start.select("query_id", "entity_id", F.col("p").alias("score"))
-    for i in range(max(1, iterations)):
+    ended: list[DataFrame] = []
+    for _ in range(max(1, iterations)):
         moved = steps.join(rank.withColumnRenamed("entity_id", "source"), ["query_id", "source"]).groupBy("query_id", F.col("target").alias("entity_id")).agg(F.sum(F.col("part") * F.col("score")).alias("got"))
         sunk = rank.join(sources, ["query_id", "entity_id"], "left_anti").groupBy("query_id").agg(F.sum("score").alias("sunk"))
         back = start.join(sunk, "query_id", "left").select("query_id", "entity_id", (F.col("p") * (1 - d + d * F.coalesce("sunk", F.lit(0.0)))).alias("back"))
         joined = moved.join(back, ["query_id", "entity_id"], "full").select("query_id", "entity_id", (d * F.coalesce("got", F.lit(0.0)) + F.coalesce("back", F.lit(0.0))).alias("score"))
         following = stage.write(joined, "rank")
-        done = False
         if tolerance > 0:
             both = following.alias("n").join(rank.alias("o"), ["query_id", "entity_id"], "full")
-            delta = both.agg(F.sum(F.abs(F.coalesce("n.score", F.lit(0.0)) - F.coalesce("o.score", F.lit(0.0)))).alias("d")).first()["d"]
-            done = delta is None or delta <= tolerance
+            delta = both.groupBy("query_id").agg(F.sum(F.abs(F.coalesce("n.score", F.lit(0.0)) - F.coalesce("o.score", F.lit(0.0)))).alias("d"))
+            still = stage.write(delta.filter(F.col("d") > tolerance).select("query_id"), "still")
+            settled = stage.write(following.join(still, "query_id", "left_anti"), "settled")
+            if settled.limit(1).count():
+                ended.append(settled)
+                start = stage.write(start.join(still, "query_id", "left_semi"), "start")
+                following = stage.write(following.join(still, "query_id", "left_semi"), "rank")
+            if not still.limit(1).count():
+                rank = following
+                break
         stage.drop(rank)
         rank = following
-        if done:
-            break
+    for e in ended:
+        rank = rank.unionByName(e)
     return rank.filter("score > 0")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phloem.functions import text as t
@@ -40,6 +40,15 @@ RELATION_CUES = (
     (("dang", "the", "loai", "phan loai"), ("LA_DANG_CUA",)),
     (("con goi", "ten khac", "dong nghia", "tieng anh", "aka"), ("DONG_NGHIA_VOI",)),
 )
+# Phrases of a question that are no entity, in the order in which they are taken out, and what parts entities.
+ASIDE = (
+    ("có", "gồm", "là", "bao gồm", "như thế nào", "gì", "nào", "không"),
+    ("liên quan đến", "liên quan tới", "liên quan", "đến", "tới"),
+    ("triệu chứng", "biểu hiện", "dấu hiệu", "nguyên nhân", "yếu tố", "biến chứng", "điều trị", "chẩn đoán", "phòng ngừa", "cần tránh", "phân loại"),
+)
+PARTING = ("và", "hay", "hoặc", "liên quan đến", "liên quan tới")
+# Fixed value: the query text for relations of symptom questions.
+SYMPTOM_TEXT = "triệu chứng; biểu hiện; yếu tố liên quan; dị ứng"
 SYMPTOM_RELATIONS = ("CO_BIEU_HIEN", "LIEN_QUAN_YEU_TO", "ANH_HUONG_DEN", "CHAN_DOAN_PHAN_BIET_VOI")
 
 
@@ -50,6 +59,49 @@ def high_keywords(question: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("thông tin y khoa")))
 
 
+def _whole(words: tuple[str, ...]) -> str:
+    """A pattern of whole words; letters with and without marks count as letters."""
+    return r"(?<![\p{L}\p{M}\p{N}_])(?:" + "|".join(words) + r")(?![\p{L}\p{M}\p{N}_])"
+
+
+def low_keywords(question: Column, limit: int = 6) -> Column:
+    """The entity phrases that are left of a question once its asking words are taken out; the question itself if none is."""
+    text = F.lower(F.regexp_replace(F.trim(question), r"^[ ?!.。]+|[ ?!.。]+$", ""))
+    for words in ASIDE:
+        text = F.regexp_replace(text, _whole(words), " ")
+    parts = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), r"[,;:/]|" + _whole(PARTING))
+    trimmed = F.filter(F.transform(parts, F.trim), lambda x: F.length(x).between(2, 80))
+    kept = F.array_except(trimmed, high_keywords(question))
+    return clean_keywords(F.when(F.size(kept) > 0, kept).otherwise(F.array(F.trim(question))), limit)
+
+
+def distinct_keywords(words: Column) -> Column:
+    """Of the words with the same folded letters the first; one letter or none is no keyword."""
+    trimmed = F.transform(words, F.trim)
+    keys = F.transform(trimmed, t.fold_alnum)
+    return F.filter(trimmed, lambda w, i: (F.length(t.fold_alnum(w)) > 1) & (F.array_position(keys, t.fold_alnum(w)) == i + 1))
+
+
+def query_text(words: Column) -> Column:
+    return F.array_join(words, "; ")
+
+
+def keyword_union(a: Column, b: Column) -> Column:
+    """Both lists in order, each word once."""
+    return F.array_union(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))
+
+
+def understood(questions: DataFrame, text: str = "text") -> DataFrame:
+    """``questions`` with low, high, low_text, high_text, intent and relation types (null: any), read from the question and its keywords."""
+    q = F.trim(text)
+    words = questions.withColumns({"low": distinct_keywords(low_keywords(q)), "high": distinct_keywords(high_keywords(q))})
+    said = F.concat_ws(" ", q, F.array_join("low", " "), F.array_join("high", " "))
+    read = words.withColumns({"intent": intent(said), "types": relation_types(said)})
+    low = F.coalesce(F.nullif(query_text(F.col("low")), F.lit("")), q)
+    high = F.when(F.col("intent") == "symptom_diagnosis", SYMPTOM_TEXT).otherwise(F.coalesce(F.nullif(query_text(F.col("high")), F.lit("")), q))
+    return read.withColumns({"low_text": low, "high_text": high})
+
+
 def intent(question: Column) -> Column:
     text = t.fold_alnum(question)
     out = F.lit("general_fact")

@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phloem.operators import graph as g
+from phloem.operators import merge
 from phloem.operators import rank as r
 from phloem.storage import Stage, table
 
 #: A batch of questions as the retrieval queries get it.
 QUESTIONS = (("q1", "viêm da"), ("q2", "thoái hóa"), ("q3", "ho khan"), ("q4", "dị ứng vùng cổ"), ("q5", "chóng mặt"))
-_ENTITY_WEIGHTS = {"name": 4, "normalized_name": 4, "aliases": 3, "surface_forms": 3, "description": 2}
-_SEED_WEIGHTS = {"name": 5, "normalized_name": 5, "aliases": 4, "surface_forms": 4, "description": 2}
+#: An entity without a profile text has its description as one, so the SQL counts a description for both.
+_ENTITY_WEIGHTS = {"name": 4, "normalized_name": 4, "aliases": 3, "surface_forms": 3, "description": 2, "profile_text": 2}
+_SEED_WEIGHTS = {"name": 5, "normalized_name": 5, "aliases": 4, "surface_forms": 4, "description": 2, "profile_text": 2}
+_RELATION_WEIGHTS = {
+    "relation_type": 2, "description": 4, "evidence_text": 3, "keywords": 4, "subject_name": 3, "object_name": 3,
+    "subject_aliases": 2, "object_aliases": 2, "subject_surface_forms": 2, "object_surface_forms": 2,
+}
 _SEEDS, _ITERATIONS = 12, 5
 
 
@@ -23,7 +29,7 @@ class Graph:
         self.spark = spark
         read = lambda t: table(spark, sf_dir, t)
         self.raw = {t: read(t) for t in ("entities", "relations", "chunks", "articles")}
-        self.entities = g.current_entities(self.raw["entities"])
+        self.entities = g.current_entities(self.raw["entities"]).withColumn("profile_text", F.col("description"))
         self.chunks = g.current_chunks(self.raw["chunks"])
         self.articles = g.current_articles(self.raw["articles"])
         self.relations = g.merged_relations(self.raw["relations"], self.entities)
@@ -60,12 +66,15 @@ def _lexical_entities(spark: SparkSession, d: str) -> DataFrame:
     return g.top_per_query(scored, 20, F.desc("score"), F.desc("mention_count"), F.asc("entity_id")).select("query_id", "entity_id", "score", "rank")
 
 
+def relation_texts(x: Graph) -> DataFrame:
+    """Relations with their ends' names and lists, and their own keywords."""
+    rows = g.with_names(x.relations, x.entities, "aliases", "surface_forms")
+    return rows.join(merge.set_union(x.raw["relations"], "relation_id", "keywords").select("relation_id", "keywords"), "relation_id", "left")
+
+
 def _lexical_relations(spark: SparkSession, d: str) -> DataFrame:
     x = Graph(spark, d)
-    end = lambda p: x.entities.select(F.col("entity_id").alias(f"{p}_entity_id"), F.col("name").alias(f"{p}_name"), F.col("aliases").alias(f"{p}_aliases"))
-    rows = x.relations.join(end("subject"), "subject_entity_id").join(end("object"), "object_entity_id")
-    weights = {"relation_type": 2, "description": 4, "subject_name": 3, "object_name": 3, "subject_aliases": 2, "object_aliases": 2}
-    scored = g.lexical_scores(x.questions(), rows, weights, "relation_id").join(x.relations.select("relation_id", "confidence"), "relation_id")
+    scored = g.lexical_scores(x.questions(), relation_texts(x), _RELATION_WEIGHTS, "relation_id").join(x.relations.select("relation_id", "confidence"), "relation_id")
     return g.top_per_query(scored, 20, F.desc("score"), F.desc("confidence"), F.asc("relation_id")).select("query_id", "relation_id", "score", "rank")
 
 
@@ -261,7 +270,10 @@ def _has(field: str, is_list: bool = False) -> str:
 
 
 def _score(weights: dict[str, int], prefix: str = "") -> str:
-    return " + ".join(f"CASE WHEN {_has(prefix + f, f.endswith(('aliases', 'surface_forms')))} THEN {w} ELSE 0 END" for f, w in weights.items())
+    fields = {f: w for f, w in weights.items() if f != "profile_text"}
+    if "profile_text" in weights:
+        fields["description"] += weights["profile_text"]
+    return " + ".join(f"CASE WHEN {_has(prefix + f, f.endswith(('aliases', 'surface_forms', 'keywords')))} THEN {w} ELSE 0 END" for f, w in fields.items())
 
 
 BASE = f"""
@@ -272,7 +284,8 @@ art AS {_latest("articles", "article_id", "body NULLS FIRST, url NULLS FIRST")},
 rel0 AS (
   SELECT relation_id, min(subject_entity_id) AS subject_entity_id, min(object_entity_id) AS object_entity_id, min(upper(trim(relation_type))) AS relation_type,
     coalesce(max(CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence END), 1.0) AS confidence,
-    arg_min(description, struct_pack(i := ingested_at, t := description)) FILTER (trim(coalesce(description, '')) <> '') AS description
+    arg_min(description, struct_pack(i := ingested_at, t := description)) FILTER (trim(coalesce(description, '')) <> '') AS description,
+    arg_min(evidence_text, struct_pack(i := ingested_at, t := evidence_text)) FILTER (trim(coalesce(evidence_text, '')) <> '') AS evidence_text
   FROM relations WHERE relation_id IS NOT NULL GROUP BY relation_id
 ),
 rel AS MATERIALIZED (SELECT * FROM rel0 WHERE subject_entity_id IN (SELECT entity_id FROM ent) AND object_entity_id IN (SELECT entity_id FROM ent)),
@@ -331,6 +344,12 @@ r{i} AS MATERIALIZED (
     return out + f", rk AS (SELECT * FROM r{_ITERATIONS} WHERE score > 0)"
 
 
+RELATION_TEXTS = """kw AS (SELECT relation_id, list(DISTINCT k) AS keywords FROM (SELECT relation_id, unnest(keywords) AS k FROM relations) WHERE trim(k) <> '' GROUP BY relation_id),
+v AS MATERIALIZED (
+  SELECT r.*, kw.keywords, s.name AS subject_name, o.name AS object_name, s.entity_type AS subject_type, o.entity_type AS object_type,
+    s.aliases AS subject_aliases, o.aliases AS object_aliases, s.surface_forms AS subject_surface_forms, o.surface_forms AS object_surface_forms
+  FROM rel r JOIN ent s ON s.entity_id = r.subject_entity_id JOIN ent o ON o.entity_id = r.object_entity_id LEFT JOIN kw USING (relation_id)
+)"""
 _RELSCORE = """, rs AS (
   SELECT t.*, greatest(coalesce(a.score, 0), coalesce(b.score, 0)) * t.confidence AS score
   FROM touching t LEFT JOIN rk a ON a.query_id = t.query_id AND a.entity_id = t.subject_entity_id LEFT JOIN rk b ON b.query_id = t.query_id AND b.entity_id = t.object_entity_id
@@ -355,8 +374,8 @@ _CANDIDATES = """, typed AS (
 SQL = {
     "lexical_entities": BASE + f""", x AS (SELECT q.query_id, e.entity_id, {_score(_ENTITY_WEIGHTS, "e.")} AS score, coalesce(e.mention_count, 0) AS m FROM questions q, ent e)
 SELECT query_id, entity_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, m DESC, entity_id) AS rank FROM x WHERE score > 0) WHERE rank <= 20""",
-    "lexical_relations": BASE + f""", v AS (SELECT r.*, s.name AS subject_name, o.name AS object_name, s.aliases AS subject_aliases, o.aliases AS object_aliases FROM rel r JOIN ent s ON s.entity_id = r.subject_entity_id JOIN ent o ON o.entity_id = r.object_entity_id),
-x AS (SELECT q.query_id, v.relation_id, v.confidence, {_score({"relation_type": 2, "description": 4, "subject_name": 3, "object_name": 3, "subject_aliases": 2, "object_aliases": 2}, "v.")} AS score FROM questions q, v)
+    "lexical_relations": BASE + f""", {RELATION_TEXTS},
+x AS (SELECT q.query_id, v.relation_id, v.confidence, {_score(_RELATION_WEIGHTS, "v.")} AS score FROM questions q, v)
 SELECT query_id, relation_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, confidence DESC, relation_id) AS rank FROM x WHERE score > 0) WHERE rank <= 20""",
     "seed_entities": BASE + "SELECT query_id, entity_id, score FROM seeds",
     "entities_by_names": BASE + """, w AS (SELECT lower(trim(section)) AS n FROM chunks UNION SELECT lower(f) FROM (SELECT unnest(surface_forms) AS f FROM entities))

@@ -191,7 +191,7 @@ def _evaluation(spark: SparkSession, d: str) -> DataFrame:
     ranked = x.mentions.join(x.chunks.select("chunk_id", "text"), "chunk_id").select(F.col("entity_id").alias("query_id"), "chunk_id", "text", "confidence")
     ranked = graph.top_per_query(ranked, 10, F.desc("confidence"), F.asc("chunk_id"))
     expected = x.entities.filter("name is not null").select(F.col("entity_id").alias("query_id"), F.array("name").alias("terms"))
-    return evaluate.retrieval_metrics(ranked, expected)
+    return evaluate.retrieval_metrics(ranked, expected).withColumn("matched_terms", F.array_join("matched_terms", "|"))
 
 
 def _method_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -368,9 +368,9 @@ b AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {_any('l', cues)} THEN '{w}'
 SELECT title, CASE WHEN len(h) > 0 THEN array_to_string(h, '|') ELSE 'thông tin y khoa' END AS high, intent,
 CASE WHEN intent = 'symptom_diagnosis' THEN '{"|".join(keywords.SYMPTOM_RELATIONS)}' WHEN len(t) > 0 THEN array_to_string(list_filter(t, lambda z, i: list_position(t, z) = i), '|') END AS types FROM b""",
     "retrieval_metrics": BASE + """, r AS (SELECT * FROM (SELECT m.entity_id, c.text, row_number() OVER (PARTITION BY m.entity_id ORDER BY m.confidence DESC, m.chunk_id) AS rank FROM men m JOIN ch c USING (chunk_id)) WHERE rank <= 10),
-t AS (SELECT entity_id, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS term FROM ent WHERE name IS NOT NULL),
-f AS (SELECT t.entity_id, min(CASE WHEN contains(trim(regexp_replace(lower(coalesce(r.text, '')), '\\s+', ' ', 'g')), t.term) THEN r.rank END) AS k FROM t LEFT JOIN r USING (entity_id) WHERE t.term <> '' GROUP BY t.entity_id)
-SELECT entity_id AS query_id, k AS first_hit_rank, CAST(coalesce(k <= 1, FALSE) AS INTEGER) AS hit_at_1, CAST(coalesce(k <= 3, FALSE) AS INTEGER) AS hit_at_3, CAST(coalesce(k <= 5, FALSE) AS INTEGER) AS hit_at_5, coalesce(round(1.0 / k, 4), 0.0) AS mrr FROM f""",
+t AS (SELECT entity_id, name, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS term FROM ent WHERE name IS NOT NULL),
+f AS (SELECT t.entity_id, any_value(t.name) AS name, min(CASE WHEN contains(trim(regexp_replace(lower(coalesce(r.text, '')), '\\s+', ' ', 'g')), t.term) THEN r.rank END) AS k FROM t LEFT JOIN r USING (entity_id) WHERE t.term <> '' GROUP BY t.entity_id)
+SELECT entity_id AS query_id, k AS first_hit_rank, CAST(coalesce(k <= 1, FALSE) AS INTEGER) AS hit_at_1, CAST(coalesce(k <= 3, FALSE) AS INTEGER) AS hit_at_3, CAST(coalesce(k <= 5, FALSE) AS INTEGER) AS hit_at_5, coalesce(round(1.0 / k, 4), 0.0) AS mrr, CASE WHEN k IS NULL THEN '' ELSE name END AS matched_terms FROM f""",
     "method_summary": f"SELECT event_type AS method, count(*) AS n, round(avg({_UNIT('value')}), 4) AS faithfulness, round(avg({_UNIT('(value / 10)')}), 4) AS relevance FROM events GROUP BY 1",
     "verdicts": f"""SELECT CASE WHEN {_UNIT("value")} < 0.5 THEN 'fail' WHEN {_UNIT("(value / 10)")} >= 0.75 THEN 'pass' WHEN {_UNIT("(value / 10)")} >= 0.5 THEN 'borderline' ELSE 'fail' END AS verdict, count(*) AS n FROM events GROUP BY 1""",
     "context_assembly": BASE + """, l AS (SELECT r.subject_entity_id AS entity_id, r.relation_id, r.confidence, '- ' || coalesce(s.name, '') || ' --' || r.relation_type || '--> ' || coalesce(o.name, '') AS line FROM rel r JOIN ent s ON s.entity_id = r.subject_entity_id JOIN ent o ON o.entity_id = r.object_entity_id),
