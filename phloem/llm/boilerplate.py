@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 _LABEL = re.compile(r"^((?:[^\w\s#|<\\{]{0,3}\s?)(?:[^\W\d_]+ ){0,3}[^\W\d_]+:[*_]{0,2})\s*\S")
 _MARK = re.compile(r"^(>>+|»+|→+|›+|▶+|►+|☞+)\s*\S")
 _PROSE_END = re.compile(r"[.!?…)”\"]\s*$")
+_HEADING = re.compile(r"#{1,6}\s")
 _REFERENCE = re.compile(r"^(?:[-*+]|\d+[.)]|\[\d+\])\s+[^\[\]]{3,}\[")
 
 #: What a line is by itself: other, prose, heading, the page's title, part of a code block, formula or table.
@@ -53,60 +54,118 @@ def label(framed: str) -> str | None:
     return found.group(1).strip() if found else None
 
 
-def read_page(markdown: str, title: str | None) -> list[tuple[int, int, int, bool, str | None, str | None]]:
-    """Non-blank lines: (line_no, block, kind, is a reference, token, label token). A block ends at a blank line."""
-    out, block, fence, formula = [], 0, False, False
-    titled = False
+class Line:
+    """What a line is by itself: text without outer blanks, what it opens, kind, whether it is a reference, token, label token."""
+
+    __slots__ = ("text", "opens", "kind", "reference", "token", "label", "hashes")
+
+    def __init__(self, line: str, title: str | None):
+        self.text = text = line.strip()
+        self.opens, self.kind, self.reference, self.token, self.label, self.hashes = "", OTHER, False, None, None, None
+        if text.startswith(("```", "~~~")):
+            self.opens = "fence"
+        elif text == "$$":
+            self.opens = "formula"
+        elif text.startswith(("|", "{|")):
+            self.opens = "table"
+        elif text:
+            self.opens = "title" if text.startswith("# ") else ""
+            framed = frame(text, title)
+            heading = _HEADING.match(text)
+            self.kind = HEADING if heading else PROSE if len(framed) > 160 or (len(framed) > 60 and " " in framed and _PROSE_END.search(framed)) else OTHER
+            self.token = framed if _LETTER.search(framed.replace("⟨T⟩", "").replace("[L](U)", "a" * ("[L](U)" in framed))) else None
+            self.label = None if heading else label(framed)
+            self.reference = bool(_REFERENCE.match(text))
+
+    def names(self, before: bool) -> tuple[int | None, int | None]:
+        """Hashes of token and label in their role; what stands before the title and after it are two tokens."""
+        if self.hashes is None:
+            self.hashes = {}
+        if before not in self.hashes:
+            gap = "1" if before else "0"
+            self.hashes[before] = (None if self.token is None else _hash(gap + self.token), None if self.label is None else _hash(gap + "label " + self.label))
+        return self.hashes[before]
+
+
+class Lines:
+    """Lines read before, up to a bound; a line that holds the page's title depends on it and is read anew."""
+
+    def __init__(self, most: int = 200_000):
+        self._known: dict[str, Line] = {}
+        self._most = most
+
+    def get(self, line: str, title: str | None) -> Line:
+        if title and title in line:
+            return Line(line, title)
+        known = self._known.get(line)
+        if known is None:
+            known = Line(line, None)
+            if len(self._known) < self._most and len(line) < 1000:
+                self._known[line] = known
+        return known
+
+
+def read_page(markdown: str, title: str | None, lines: Lines | None = None) -> list[tuple[int, int, int, Line]]:
+    """Non-blank lines: (line_no, block, kind, what the line is by itself). A block ends at a blank line."""
+    lines = lines or Lines()
+    out, block, inside, titled = [], 0, "", False
     for no, line in enumerate(markdown.split("\n"), 1):
-        text = line.strip()
-        if not text:
+        read = lines.get(line, title)
+        if not read.text:
             block += 1
             continue
-        if text.startswith("```") or text.startswith("~~~"):
-            fence = not fence
-            out.append((no, block, BLOCK, False, None, None))
-            continue
-        if not fence and text == "$$":
-            formula = not formula
-            out.append((no, block, BLOCK, False, None, None))
-            continue
-        if fence or formula or text.startswith("|") or text.startswith("{|"):
-            out.append((no, block, BLOCK, False, None, None))
-            continue
-        if text.startswith("# ") and not titled:
+        kind = read.kind
+        if read.opens == "fence":
+            inside = {"": "fence", "fence": ""}.get(inside, inside)
+            kind = BLOCK
+        elif inside == "fence" or read.opens == "table":
+            kind = BLOCK
+        elif read.opens == "formula":
+            inside = "" if inside == "formula" else "formula"
+            kind = BLOCK
+        elif inside:
+            kind = BLOCK
+        elif read.opens == "title" and not titled:
             titled = True
-            out.append((no, block, TITLE, False, None, None))
-            continue
-        framed = frame(text, title)
-        kind = HEADING if re.match(r"#{1,6}\s", text) else PROSE if len(framed) > 160 or (_PROSE_END.search(framed) and len(framed) > 60 and " " in framed) else OTHER
-        token = framed if _LETTER.search(framed.replace("⟨T⟩", "").replace("[L](U)", "a" * ("[L](U)" in framed))) else None
-        out.append((no, block, kind, bool(_REFERENCE.match(text)), token, label(framed) if kind != HEADING else None))
+            kind = TITLE
+        out.append((no, block, kind, read))
     return out
 
 
 _READ = "key long, host string, page long, lines array<struct<line_no:int,block:int,kind:int,follow:int,token:long,label:long,above:long,above_label:long>>"
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for start in range(0, len(batch), 500):
-            rows = []
-            for key, host, page, title, markdown in batch.iloc[start : start + 500].itertuples(index=False, name=None):
-                lines, out = read_page(markdown, title if isinstance(title, str) and len(title) > 3 else None), []
+_FIELDS = ("line_no", "block", "kind", "follow", "token", "label", "above", "above_label")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = Lines()
+    for whole in batches:
+        for start in range(0, whole.num_rows, 500):
+            batch = whole.slice(start, 500)
+            columns: list[list] = [[] for _ in _FIELDS]
+            ends = [0]
+            for title, markdown in zip(batch.column("title").to_pylist(), batch.column("markdown").to_pylist()):
+                lines = read_page(markdown, title if title is not None and len(title) > 3 else None, known)
                 before = any(x[2] == TITLE for x in lines)
                 above = (None, None, None)  # block, token and label of a line that the next one of its block runs on from
-                for at, (no, block, kind, reference, token, lead) in enumerate(lines):
+                for at, (no, block, kind, line) in enumerate(lines):
                     if kind == TITLE:
                         before = False
+                    plain = kind < TITLE
                     nxt = lines[at + 1] if at + 1 < len(lines) else None
                     # what a heading opens: 1 a list or line of the same block that is no reference, 0 anything else
-                    follow = int(bool(nxt) and nxt[1] == block and nxt[2] == OTHER and not nxt[3])
-                    gap = "1" if before else "0"  # a token's role: what stands before the title and after it are two tokens
-                    names = (None if token is None else _hash(gap + token), None if lead is None else _hash(gap + "label " + lead))
-                    out.append((no, block, kind + 8 * before + 16 * reference, follow, *names, *(above[1:] if above[0] == block else (None, None))))
+                    follow = int(nxt is not None and nxt[1] == block and nxt[2] == OTHER and not nxt[3].reference)
+                    names = line.names(before) if plain else (None, None)
+                    row = (no, block, kind + 8 * before + 16 * (plain and line.reference), follow, *names, *(above[1:] if above[0] == block else (None, None)))
+                    for column, value in zip(columns, row):
+                        column.append(value)
                     above = (block if kind in (OTHER, PROSE) else None, *names)
-                rows.append((key, host, page, out))
-            yield pd.DataFrame(rows, columns=["key", "host", "page", "lines"])
+                ends.append(len(columns[0]))
+            kinds = [pa.int32()] * 4 + [pa.int64()] * 4
+            struct = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(_FIELDS))
+            read = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), batch.column("page"), read], names=["key", "host", "page", "lines"])
 
 
 def deduce_template(stage: Stage, pages: DataFrame, min_pages: int) -> DataFrame:
@@ -189,13 +248,17 @@ def _classify(lines: list, hits: set[int]) -> list[int]:
     return out
 
 
-def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for key, lines, hits in zip(batch["key"], batch["lines"], batch["hits"]):
-            read = [(x["line_no"], x["block"], x["kind"], x["follow"]) for x in lines]
-            rows += [(key, no) for no in _classify(read, set(hits) if hits is not None else set())]
-        yield pd.DataFrame(rows, columns=["key", "line_no"])
+        lines, hits = batch.column("lines"), batch.column("hits")
+        starts, flat = lines.offsets.to_pylist(), lines.values
+        fields = list(zip(*[flat.field(f).to_pylist() for f in _FIELDS[:4]])) if len(flat) else []
+        keys, gone = [], []
+        for i, (key, found) in enumerate(zip(batch.column("key").to_pylist(), hits.to_pylist())):
+            out = _classify(fields[starts[i] : starts[i + 1]], set(found or ()))
+            gone += out
+            keys += [key] * len(out)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.int32())], names=["key", "line_no"])
 
 
 def boilerplate_lines(
@@ -219,12 +282,12 @@ def boilerplate_lines(
         F.col(title).alias("title"),
         F.col(markdown).alias("markdown"),
     )
-    read = stage.write(keyed.select("key", "host", "page", "title", "markdown").mapInPandas(_read, _READ), "pages")
+    read = stage.write(keyed.select("key", "host", "page", "title", "markdown").mapInArrow(_read, _READ), "pages")
     template = stage.write(deduce_template(stage, read, min_pages), "template")
     local = template.filter("host is not null").select("host", "token", F.lit(True).alias("hit"))
     anywhere = template.filter("host is null").select("token", F.lit(True).alias("any"))
     lines = read.select("key", "host", F.explode("lines").alias("l"))
     tokens = lines.select("key", "host", "l.line_no", F.explode(F.array("l.token", "l.label")).alias("token")).filter("token is not null")
     hits = tokens.join(local, ["host", "token"], "left").join(anywhere, "token", "left").filter("hit or any").groupBy("key").agg(F.collect_set("line_no").alias("hits"))
-    decided = read.select("key", "lines").join(hits, "key", "left").mapInPandas(_decide, "key long, line_no int")
+    decided = read.select("key", "lines").join(hits, "key", "left").mapInArrow(_decide, "key long, line_no int")
     return keyed.select("id", "key").distinct().join(decided, "key").select(F.col("id").alias(id_col), "line_no").distinct()
