@@ -9,8 +9,8 @@ from phloem.storage import Stage
 
 
 def normal_line(line: Column) -> Column:
-    """Trimmed, each run of white space one blank, lower case, each run of digits one sign."""
-    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, r"(?U)\s+", " "))), "[0-9]+", "0")
+    """Trimmed, each run of white space one blank, lower case, each run of digits one sign. Single blanks are not matched at all."""
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, r"(?U) \s+|[^\S ]\s*", " "))), "[0-9]+", "0")
 
 
 def line_table(docs: DataFrame, id_col: str, source: str, body: str) -> DataFrame:
