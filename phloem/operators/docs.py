@@ -20,6 +20,86 @@ NOISE = (
 SUMMARY = "Tóm tắt"
 
 
+# Plain lines that are headings, as patterns of a whole line without case.
+PLAIN_HEADINGS = (
+    r"^.+ là gì\?$", "^Triệu chứng .+", "^Dấu hiệu .+", "^Nguyên nhân .+", "^Các biến chứng .+", "^Biến chứng .+", "^Chẩn đoán .+", "^Cách điều trị .+", "^Điều trị .+",
+    "^Cách phòng ngừa .+", "^Phòng ngừa .+", "^Một số câu hỏi thường gặp$", "^Câu hỏi thường gặp$", r"^Khi nào cần gặp bác sĩ\?$",
+)
+# What ends a page's content. A site's own markers are passed beside these.
+STOPS = (
+    "\n- Fanpage:", "\n- Website:", "\nCập nhật lần cuối:", "\nChia sẻ:", "\n**Nguồn tham khảo**", "\nNguồn tham khảo", "\nChủ đề:", "\n### BÀI VIẾT LIÊN QUAN", "\n## BÀI VIẾT LIÊN QUAN",
+    "\n### BÀI VIẾT CÙNG CHỦ ĐỀ", "\n## BÀI VIẾT CÙNG CHỦ ĐỀ", "\nĐĂNG KÝ NHẬN TIN", "\n## ĐỐI TÁC BẢO HIỂM", "\nCopyright ©",
+)
+# Whole lines, beginnings and parts of lines that a page's content does not hold.
+USELESS_LINES = ("Mục lục", "ĐẶT LỊCH HẸN", "XEM HỒ SƠ", "Tư vấn chuyên môn bài viết")
+NOISE_STARTS = ("Xem thêm:", "Tìm hiểu thêm:", "Tham khảo thêm:", "Xem chi tiết:", "Cập nhật lần cuối:", "Chia sẻ:", "Chủ đề:", "Hotline:", "Fanpage:", "Website:", "Địa chỉ:")
+NOISE_PARTS = (
+    "ĐẶT LỊCH HẸN", "XEM HỒ SƠ", "Tổng đài tư vấn", "Quý khách vui lòng", "Để đặt lịch khám", "BÀI VIẾT LIÊN QUAN", "BÀI VIẾT CÙNG CHỦ ĐỀ", "ĐĂNG KÝ NHẬN TIN", "ĐỐI TÁC BẢO HIỂM", "Copyright",
+)
+
+
+def _tidy(lines: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def _words(line: Column) -> Column:
+    return F.size(F.filter(F.split(line, r"\s+"), lambda w: w != ""))
+
+
+def promote_headings(markdown: Column) -> Column:
+    """Plain lines that read like a heading, of at most 14 words, as second-level headings; numbered ones as third-level."""
+    known = "(?iu)" + "|".join(PLAIN_HEADINGS)
+
+    def one(x: Column) -> Column:
+        line = F.trim(x)
+        short = (line != "") & ~line.startswith("#") & (_words(line) <= 14)
+        return F.when(short & line.rlike(known), F.concat(F.lit("## "), line)).when(short & line.rlike(r"^\d+\.\s+.+"), F.concat(F.lit("### "), line)).otherwise(x)
+
+    return _tidy(F.transform(F.split(markdown, "\n"), one))
+
+
+def cut_at(markdown: Column, stops: tuple[str, ...] = STOPS) -> Column:
+    """What stands before the first of the markers."""
+    at = F.array_min(F.array(*[F.when(F.locate(m, markdown) > 0, F.locate(m, markdown)) for m in stops]))
+    return F.regexp_replace(F.when(at.isNotNull(), F.substring(markdown, F.lit(1), at - 1)).otherwise(markdown), r"^\s+|\s+$", "")
+
+
+def compared(line: Column) -> Column:
+    """A heading or title for comparison, in lower case."""
+    return F.lower(t.collapse(F.regexp_replace(F.regexp_replace(F.trim(line), r"^#{1,6}\s+", ""), r"\*|_", "")))
+
+
+def without_intro(markdown: Column, title: Column, useless: tuple[str, ...] = USELESS_LINES) -> Column:
+    """Without the title's first repetition in the first 20 lines, dates that stand alone in the first 30 and useless lines in the first 60."""
+    lines = F.split(markdown, "\n")
+    same = F.transform(lines, lambda x, i: (compared(title) != "") & (i < 20) & (compared(x) == compared(title)))
+    first = F.array_position(same, F.lit(True))
+    line = lambda x: t.collapse(x)
+    kept = F.filter(lines, lambda x, i: ~((i + 1 == first) | ((i < 30) & line(x).rlike(r"^\d{2}/\d{2}/\d{4}$")) | ((i < 60) & line(x).isin(*useless))))
+    return _tidy(F.transform(kept, lambda x: F.when(line(x) == "", F.lit("")).otherwise(x)))
+
+
+def noise_line(line: Column) -> Column:
+    """Whether a trimmed line is left over from a page's furniture: a known line, beginning or part, or nothing but a link."""
+    starts = line.rlike("^(?:" + "|".join(rf"\Q{s}\E" for s in NOISE_STARTS) + ")")
+    return line.isin(*USELESS_LINES) | starts | t.contains_any(line, NOISE_PARTS) | line.rlike(r"^\[[^\]]*\]\([^)]*\)$")
+
+
+def clean_pages(pages: DataFrame, markdown: str = "markdown", title: str = "title") -> DataFrame:
+    """``pages`` with their Markdown after all steps: intro, headings, cut, then noise lines and repetitions of the title's heading.
+
+    Each step is a column of its own, so that it is worked out once. Null Markdown stays null.
+    """
+    named = F.coalesce(F.col(title), F.lit(""))
+    steps = pages.withColumn("__a", without_intro(F.col(markdown), named)).withColumn("__b", promote_headings(F.col("__a"))).withColumn("__c", cut_at(F.col("__b")))
+    lines = steps.withColumn("__head", compared(named)).withColumn("__l", F.split("__c", "\n"))
+    is_title = lambda x: F.trim(x).startswith("# ") & (F.col("__head") != "") & (compared(x) == F.col("__head"))
+    marked = lines.withColumn("__first", F.array_position(F.transform("__l", is_title), F.lit(True)))
+    kept = F.filter("__l", lambda x, i: (F.trim(x) == "") | (~noise_line(F.trim(x)) & ((i + 1 == F.col("__first")) | ~is_title(x))))
+    out = _tidy(F.transform(kept, lambda x: F.when(F.trim(x) == "", F.lit("")).otherwise(x)))
+    return marked.withColumn(markdown, out).drop("__a", "__b", "__c", "__head", "__l", "__first")
+
+
 def normal_newlines(c: Column) -> Column:
     one = F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "\n{3,}", "\n\n")
     return F.regexp_replace(one, r"^\s+|\s+$", "")

@@ -59,8 +59,8 @@ def valid_entities(entities: DataFrame, seq: str) -> DataFrame:
     )
 
 
-def valid_relations(relations: DataFrame, seq: str) -> DataFrame:
-    """Relations (subject, subject_type, relation_type, object, object_type, evidence_text, ...) that pass every rule; the first of each five-part key.
+def valid_relations(relations: DataFrame, seq: str, *within: str) -> DataFrame:
+    """Relations (subject, subject_type, relation_type, object, object_type, evidence_text, ...) that pass every rule; the first of each five-part key, or of each key within other columns.
 
     The schema is a broadcast table of its 137 allowed combinations.
     """
@@ -70,7 +70,7 @@ def valid_relations(relations: DataFrame, seq: str) -> DataFrame:
     kept = allowed.filter(~bad_name(F.col("subject")) & ~bad_name(F.col("object")) & ~question_only(F.col("evidence_text")))
     kept = kept.filter((F.col("relation_type") != "DONG_NGHIA_VOI") | synonym).filter((F.col("relation_type") != "CHAN_DOAN_BANG") | (F.col("object_type") == "PHUONG_PHAP_CHAN_DOAN"))
     keyed = kept.withColumns({"subject_key": t.fold("subject"), "object_key": t.fold("object")})
-    w = Window.partitionBy("subject_key", "subject_type", "relation_type", "object_key", "object_type").orderBy(seq)
+    w = Window.partitionBy(*within, "subject_key", "subject_type", "relation_type", "object_key", "object_type").orderBy(seq)
     return keyed.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 

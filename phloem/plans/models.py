@@ -53,21 +53,5 @@ def embed(rows: DataFrame, text: str, model: Callable[[], Callable[[list[str]],
     return rows.withColumn("vector", F.pandas_udf(run, "array<float>")(F.col(text)))
 
 
-def labelled(*pairs: tuple[str, Column]) -> Column:
-    """Lines ``label: value`` of the values that are not blank."""
-    return F.array_join(F.array_compact(F.array(*[F.when(F.trim(F.coalesce(v, F.lit(""))) != "", F.concat(F.lit(f"{n}: "), v)) for n, v in pairs])), "\n")
-
-
-def entity_text() -> Column:
-    """What of an entity is embedded."""
-    return labelled(("name", F.col("name")), ("type", F.col("entity_type")), ("aliases", F.array_join("aliases", ", ")), ("description", F.col("description")), ("evidence", F.col("evidence_text")))
-
-
-def relation_text() -> Column:
-    """What of a relation with its ends' names is embedded."""
-    fact = F.concat_ws(" ", "subject_name", "relation_type", "object_name")
-    return labelled(("relation", fact), ("keywords", F.array_join("keywords", ", ")), ("description", F.col("description")), ("evidence", F.col("evidence_text")))
-
-
 def answer_prompt(question: Column, context: Column) -> Column:
     return F.concat(F.lit("Context:\n"), F.coalesce(context, F.lit("")), F.lit("\n\nQuestion: "), question)

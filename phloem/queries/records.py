@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,8 +80,11 @@ def _profile_update(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pending(spark: SparkSession, d: str) -> DataFrame:
-    """Urls crawled but not yet taken in."""
-    return table(spark, d, "article_items").select("url").distinct().join(table(spark, d, "articles").select("url"), "url", "left_anti").filter("url is not null")
+    """Urls that pages link to on their own host but that are not taken in yet, and pages that were crawled but not taken in."""
+    items = table(spark, d, "article_items")
+    linked = items.select("url", F.explode(docs.links(F.col("markdown"))).alias("target")).filter(t.url_host("url") == t.url_host("target")).select(t.url_normal("target").alias("url"))
+    seen = linked.unionByName(items.select(t.url_normal("url").alias("url"))).unionByName(items.select(F.explode("related_links").alias("url")).select(t.url_normal("url").alias("url"))).filter("url is not null").distinct()
+    return seen.join(table(spark, d, "articles").select(t.url_normal("url").alias("url")), "url", "left_anti")
 
 
 def _page(spark: SparkSession, d: str) -> DataFrame:
@@ -270,17 +275,27 @@ _NAMED = """named AS (
   FROM relations r JOIN ent s ON s.entity_id = r.subject_entity_id JOIN ent o ON o.entity_id = r.object_entity_id
 )"""
 _TIGHT = f"regexp_replace(regexp_replace({_fold('evidence_text')}, '\\s*\\(\\s*', '(', 'g'), '\\s*\\)', ')', 'g')"
-_VALID_RELATIONS = f"""{_NAMED}, {_RULES},
-d0 AS (SELECT *, {_display("sraw")} AS subject, {_display("oraw")} AS object FROM named),
-d1 AS (SELECT *, {_fold("subject")} AS subject_key, {_fold("object")} AS object_key, {_TIGHT} AS tight, {_fold("evidence_text")} AS said FROM d0),
-vr0 AS (
-  SELECT * FROM d1 WHERE EXISTS (SELECT 1 FROM rules u WHERE u.relation_type = d1.relation_type AND u.subject_type = d1.subject_type AND u.object_type = d1.object_type)
+#: Whether a relation of the table d1, with folded ends and evidence, passes every rule.
+_PASSES = f"""EXISTS (SELECT 1 FROM rules u WHERE u.relation_type = d1.relation_type AND u.subject_type = d1.subject_type AND u.object_type = d1.object_type)
     AND NOT {_bad("subject")} AND NOT {_bad("object")} AND evidence_text IS NOT NULL AND evidence_text <> '' AND NOT contains(evidence_text, '?')
     AND NOT ({" OR ".join(f"starts_with(lower(evidence_text), '{q}')" for q in extract.QUESTION_STARTS)})
     AND (relation_type <> 'DONG_NGHIA_VOI' OR (subject_type = object_type AND subject_key <> object_key AND NOT {_any("said", extract.SYNONYM_AGAINST)}
       AND ({_any("said", extract.SYNONYM_FOR)} OR (subject_key <> '' AND object_key <> '' AND (contains(tight, subject_key || '(' || object_key || ')') OR contains(tight, object_key || '(' || subject_key || ')'))))))
-    AND (relation_type <> 'CHAN_DOAN_BANG' OR object_type = 'PHUONG_PHAP_CHAN_DOAN')
-), vr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_key, subject_type, relation_type, object_key, object_type ORDER BY ingested_at NULLS FIRST, relation_id) AS rn FROM vr0) WHERE rn = 1)"""
+    AND (relation_type <> 'CHAN_DOAN_BANG' OR object_type = 'PHUONG_PHAP_CHAN_DOAN')"""
+_KEYED = f"""d1 AS (SELECT *, {_fold("subject")} AS subject_key, {_fold("object")} AS object_key, {_TIGHT} AS tight, {_fold("evidence_text")} AS said FROM d0)"""
+_VALID_RELATIONS = f"""{_NAMED}, {_RULES},
+d0 AS (SELECT *, {_display("sraw")} AS subject, {_display("oraw")} AS object FROM named),
+{_KEYED},
+vr0 AS (SELECT * FROM d1 WHERE {_PASSES}),
+vr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_key, subject_type, relation_type, object_key, object_type ORDER BY ingested_at NULLS FIRST, relation_id) AS rn FROM vr0) WHERE rn = 1)"""
+_UUID5 = "substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', CAST((strpos('0123456789abcdef', substr({h}, 17, 1)) - 1) % 4 + 1 AS INTEGER), 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+def _uuid5(name: str) -> str:
+    """A version 5 UUID of a name in the namespace of urls."""
+    return _UUID5.format(h=f"sha1(from_hex('{uuid.NAMESPACE_URL.hex}') || encode({name}))")
+
+
 _QUESTION = "(SELECT title AS q FROM articles UNION SELECT section FROM documents UNION SELECT section FROM chunks)"
 _INTENT = "CASE " + " ".join(f"WHEN {_any('f', cues)} THEN '{name}'" for name, cues in keywords.INTENT_CUES) + " ELSE 'general_fact' END"
 _TYPES = "list_concat(" * (len(keywords.RELATION_CUES) - 1) + ", ".join(f"CASE WHEN {_any('f', cues)} THEN [{', '.join(repr(k) for k in kinds)}] ELSE [] END" + (")" if i else "") for i, (cues, kinds) in enumerate(keywords.RELATION_CUES))
@@ -296,8 +311,10 @@ _UNIT = lambda x: f"coalesce(greatest(0.0, least(1.0, CASE WHEN {x} > 5 THEN {x}
 _NOISE = "(?i)" + "|".join(docs.NOISE)
 _HEADING = lambda x: f"trim(regexp_replace(regexp_replace(regexp_replace(trim({x}), '^#{{1,6}}\\s+', ''), '[*_]', '', 'g'), '\\s+', ' ', 'g'))"
 _HOST = lambda x: f"lower(regexp_extract({x}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)', 1))"
+_PLAIN = lambda x: f"regexp_replace(regexp_replace(trim({x}), '[?#].*$', ''), '/+$', '')"
 
 SQL = {
+    "point_ids": f"SELECT DISTINCT point_id, {_uuid5("'entity::' || payload.ref_id")} AS uuid FROM vector_points",
     "normalizers": f"""SELECT name, {_fold("name")} AS folded, {_alnum("name")} AS alnum, {_key("name")} AS key,
 coalesce(nullif(substring(regexp_replace(regexp_replace({_fold("name")}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 90), ''), 'untitled') AS slug, trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS lowered
 FROM (SELECT name FROM entities UNION SELECT title FROM documents) WHERE name IS NOT NULL""",
@@ -324,14 +341,16 @@ SELECT r.relation_id, r.relation_type, r.confidence, k.keywords, coalesce(n.n, 0
     "article_upsert": BASE + "SELECT article_id, source, title, md5(body) AS body FROM art",
     "mention_upsert": BASE + "SELECT chunk_id, count(*) AS n, max(confidence) AS top FROM men GROUP BY chunk_id",
     "profile_update": BASE + "SELECT entity_id, coalesce(nullif(evidence_text, ''), description) AS description FROM ent",
-    "pending_urls": "SELECT DISTINCT url FROM article_items i WHERE url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM articles a WHERE a.url = i.url)",
+    "pending_urls": f"""WITH l AS (SELECT url, unnest(regexp_extract_all(markdown, '\\]\\((https?://[^()\\s]+)\\)', 1)) AS target FROM article_items WHERE markdown IS NOT NULL),
+s AS (SELECT {_PLAIN("target")} AS url FROM l WHERE {_HOST("url")} = {_HOST("target")} UNION SELECT {_PLAIN("url")} FROM article_items UNION SELECT {_PLAIN("u")} FROM (SELECT unnest(related_links) AS u FROM article_items))
+SELECT url FROM s WHERE url IS NOT NULL AND url NOT IN (SELECT {_PLAIN("url")} FROM articles WHERE url IS NOT NULL)""",
     "page_offset": BASE + "SELECT entity_id, mention_count FROM ent ORDER BY mention_count DESC NULLS LAST, entity_id LIMIT 50 OFFSET 50",
     "valid_entities": f"""WITH {_VALID_ENTITIES}
 SELECT key, entity_type, arg_min(name, struct_pack(i := ingested_at, e := entity_id, r := raw)) AS name,
 md5(coalesce(arg_min(trim(evidence_text), struct_pack(i := ingested_at, e := entity_id, r := raw, v := trim(evidence_text))) FILTER (trim(coalesce(evidence_text, '')) <> ''), '')) AS evidence FROM k GROUP BY key, entity_type""",
     "valid_relations": BASE + f", {_VALID_RELATIONS} SELECT subject_key, subject_type, relation_type, object_key, object_type, relation_id FROM vr",
     "missing_ends": BASE + f""", {_VALID_RELATIONS}, {_VALID_ENTITIES}, ends AS (SELECT subject_key AS key, subject_type AS entity_type FROM vr UNION SELECT object_key, object_type FROM vr)
-SELECT key, entity_type FROM ends e WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.mention_count > 1 AND k.key = e.key AND k.entity_type = e.entity_type)""",
+SELECT key, entity_type FROM ends e WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.key = e.key AND k.entity_type = e.entity_type)""",
     "schema_audit": BASE + f", {_NAMED}, {_RULES} SELECT n.relation_type, u.relation_type IS NOT NULL AS allowed, count(*) AS n, count(DISTINCT n.relation_id) AS n_relations FROM named n LEFT JOIN rules u ON u.relation_type = n.relation_type AND u.subject_type = n.subject_type AND u.object_type = n.object_type GROUP BY 1, 2",
     "extraction_audit": """SELECT upper(trim(relation_type)) AS relation_type, count(*) AS n, count(DISTINCT relation_id) AS n_relations,
 count(*) FILTER (coalesce(len(keywords), 0) = 0) AS no_keywords, count(*) FILTER (NOT coalesce(confidence BETWEEN 0 AND 1, FALSE)) AS bad_confidence FROM relations GROUP BY 1""",
@@ -350,7 +369,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY part) - 1 AS
 SELECT article_id, CAST(n AS INTEGER) AS section_order, 'section_' || substring(md5(article_id || ':' || n || ':' || coalesce(h, 'Tóm tắt')), 1, 12) AS section_id, coalesce(h, 'Tóm tắt') AS section_title,
 CASE WHEN l > 0 THEN l ELSE 2 END AS section_level, nullif(p, chr(1)) AS parent, md5(text) AS text FROM f""",
     "same_site_links": f"""WITH l AS (SELECT item_id, url, regexp_extract_all(markdown, '\\]\\((https?://[^()\\s]+)\\)', 1) AS a FROM article_items WHERE markdown IS NOT NULL),
-k AS (SELECT item_id, url, unnest(list_slice(list_filter(a, lambda z, i: list_position(a, z) = i), 1, 30)) AS target FROM l)
+k AS (SELECT item_id, url, unnest(a) AS target FROM l)
 SELECT item_id, count(DISTINCT target) AS n_links FROM k WHERE {_HOST("url")} = {_HOST("target")} GROUP BY item_id""",
     "md_clean": f"""WITH a AS (SELECT DISTINCT article_id, title, body FROM articles WHERE body IS NOT NULL),
 l AS (SELECT *, string_split(regexp_replace(regexp_replace(replace(replace(body, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), chr(10)) AS lines FROM a),
