@@ -17,6 +17,7 @@ NOISE = (
     "^ĐẶT LỊCH HẸN$", "^XEM HỒ SƠ$", "^Tư vấn chuyên môn bài viết$", "^Cập nhật lần cuối:", "^Chia sẻ:", "^BÀI VIẾT LIÊN QUAN$",
     "^BÀI VIẾT CÙNG CHỦ ĐỀ$", "^ĐĂNG KÝ NHẬN TIN$", "^ĐỐI TÁC BẢO HIỂM$", "^Copyright",
 )
+# Fixed value: what the part before the first heading is called.
 SUMMARY = "Tóm tắt"
 
 

@@ -5,14 +5,11 @@ import pytest
 import __spark_entry__ as entry
 from tests.compare import compare, duck
 
-SLOW = {"khop_3"}
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(n for n in SQL if not n.startswith("p") or n.startswith("p5") or not n[1].isdigit()))
 def test_sql(spark, sf, name):
-    if name in SLOW:
-        pytest.skip("covered at larger scale")
     why, _ = compare(spark, duck(sf), sf, QUERIES[name], SQL[name])
     assert not why, why
 
