@@ -7,13 +7,14 @@ can unroll; ``hippo_settled`` runs to the tolerance.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phloem.operators import graph as g
-from phloem.plans import evaluate, keywords, retrieve
+from phloem.plans import evaluate, keywords, models, retrieve
 from phloem.plans.questions import QUESTIONS, built_in
 from phloem.queries.graph import _CANDIDATES, _ENTITY_WEIGHTS, _RELATION_WEIGHTS, _SEED_WEIGHTS, BASE, RELATION_TEXTS, Graph, _score, relation_texts
 from phloem.queries.graph import QUESTIONS as SHORT
@@ -128,11 +129,25 @@ def _light_context(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.context(x.asked, entities, relations, chunks).select("query_id", F.length("context").alias("n_chars"), F.md5("context").alias("context"))
 
 
+def evidence(x: Retrieval) -> DataFrame:
+    """(query_id, lines): the evidence that the answer to each question is given, from the mixed result."""
+    chunks = _ranked(x.mixed(), "chunk_id", 8).join(x.chunks, "chunk_id").withColumn("line", retrieve.evidence_lines()).filter("line is not null")
+    return retrieve.listed(chunks, F.col("line"), 8, "\n\n")
+
+
 def _mixed_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """The evidence that the answer to each question is given, from the mixed result."""
+    return evidence(Retrieval(spark, d)).select("query_id", F.length("lines").alias("n_chars"), F.md5("lines").alias("lines"))
+
+
+def _echo():
+    """A client that answers offline, from the prompt alone."""
+    return lambda prompt: hashlib.md5(prompt.encode()).hexdigest()
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
     x = Retrieval(spark, d)
-    chunks = _ranked(x.mixed(), "chunk_id", 8).join(x.chunks, "chunk_id").withColumn("line", retrieve.evidence_lines()).filter("line is not null")
-    return retrieve.listed(chunks, F.col("line"), 8, "\n\n").select("query_id", F.length("lines").alias("n_chars"), F.md5("lines").alias("lines"))
+    asked = x.asked.join(evidence(x), "query_id", "left").withColumn("prompt", models.answer_prompt(F.col("text"), F.col("lines")))
+    return models.call(asked, "query_id", "prompt", _echo).select("query_id", "ok", "answer", "attempt")
 
 
 def _retrieval_evaluation(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +165,7 @@ def _retrieval_evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "query_keywords": _query_keywords, "vector_rag": _vector_rag, "entity_expansion": _entity_expansion, "relation_expansion": _relation_expansion, "lightrag": _light, "hipporag": _hippo,
-    "hippo_settled": _hippo_settled, "hippo_support": _hippo_support, "mixed_rag": _mixed, "lightrag_context": _light_context, "mixed_evidence": _mixed_evidence, "retrieval_evaluation": _retrieval_evaluation,
+    "hippo_settled": _hippo_settled, "hippo_support": _hippo_support, "mixed_rag": _mixed, "lightrag_context": _light_context, "mixed_evidence": _mixed_evidence, "answers": _answers, "retrieval_evaluation": _retrieval_evaluation,
 }
 
 
@@ -397,6 +412,12 @@ def _numbered(cte: str, key: str) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, {key}) AS rank FROM {cte})"
 
 
+_LINES = (_LIGHT + _walk() + _FUSED + """, k AS (
+  SELECT m.query_id, m.rank, concat_ws(' | ', '[Context ' || m.rank || ']', 'chunk_id=' || c.chunk_id, CASE WHEN c.title <> '' THEN 'title=' || c.title END, CASE WHEN c.section <> '' THEN 'section=' || c.section END) || chr(10) || trim(coalesce(nullif(c.text, ''), c.contextualized_text, '')) AS line
+  FROM mixed m JOIN ch c USING (chunk_id) WHERE m.rank <= 8 AND trim(coalesce(nullif(c.text, ''), c.contextualized_text, '')) <> ''
+), t AS (SELECT query_id, string_agg(line, chr(10) || chr(10) ORDER BY rank) AS lines FROM k GROUP BY query_id)""")
+_TEXTS = ", ".join(f"({_quoted(i)}, {_quoted(q)})" for i, q in ASKED)
+
 SQL = {
     "query_keywords": "SELECT * FROM (VALUES "
     + ", ".join(
@@ -419,11 +440,8 @@ c1 AS (SELECT o.query_id, string_agg({_chunk_line()}, chr(10) || chr(10) ORDER B
 t AS (SELECT a.query_id, concat_ws(chr(10) || chr(10), '## Query keywords' || chr(10) || 'Low-level: ' || a.low_words || chr(10) || 'High-level: ' || a.high_words, '## Entities' || chr(10) || e1.lines, '## Relations' || chr(10) || r1.lines, '## Source chunks' || chr(10) || c1.lines) AS context
   FROM asked a LEFT JOIN e1 USING (query_id) LEFT JOIN r1 USING (query_id) LEFT JOIN c1 USING (query_id))
 SELECT query_id, length(context) AS n_chars, md5(context) AS context FROM t""",
-    "mixed_evidence": _LIGHT + _walk() + _FUSED + """, k AS (
-  SELECT m.query_id, m.rank, concat_ws(' | ', '[Context ' || m.rank || ']', 'chunk_id=' || c.chunk_id, CASE WHEN c.title <> '' THEN 'title=' || c.title END, CASE WHEN c.section <> '' THEN 'section=' || c.section END) || chr(10) || trim(coalesce(nullif(c.text, ''), c.contextualized_text, '')) AS line
-  FROM mixed m JOIN ch c USING (chunk_id) WHERE m.rank <= 8 AND trim(coalesce(nullif(c.text, ''), c.contextualized_text, '')) <> ''
-), t AS (SELECT query_id, string_agg(line, chr(10) || chr(10) ORDER BY rank) AS lines FROM k GROUP BY query_id)
-SELECT query_id, length(lines) AS n_chars, md5(lines) AS lines FROM t""",
+    "mixed_evidence": _LINES + "SELECT query_id, length(lines) AS n_chars, md5(lines) AS lines FROM t",
+    "answers": _LINES + f", q(query_id, text) AS (VALUES {_TEXTS}) SELECT q.query_id, true AS ok, md5('Context:' || chr(10) || coalesce(t.lines, '') || chr(10) || chr(10) || 'Question: ' || q.text) AS answer, 1 AS attempt FROM q LEFT JOIN t USING (query_id)",
     "retrieval_evaluation": _LIGHT + _walk() + f""", {_VECTOR},
 terms(query_id, terms) AS (VALUES {_TERMS}),
 hits AS (SELECT 'vector' AS method, * FROM vch UNION ALL SELECT 'lightrag', * FROM o_ch UNION ALL SELECT 'hipporag', * FROM o_hch),

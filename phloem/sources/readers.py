@@ -29,13 +29,15 @@ def _front(text: str) -> dict:
     return found if isinstance(found, dict) else {}
 
 
-def markdown_articles(spark: SparkSession, path: str) -> DataFrame:
+def markdown_articles(spark: SparkSession, path: str, names: str = "*.md") -> DataFrame:
     """A row a ``*.md`` file: its front matter's fields, body and file path, with article_id from url or title.
 
+    What ``writers.write_markdown`` wrote is read with the names ``*.txt``.
+
     A file without front matter, or with one that is no YAML mapping, is all body. Dates stay strings. Where no title is
     given, the first first-level heading is it, else the file's name.
     """
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=names, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file_path"), "value")
     fence = r"(?s)^\x{FEFF}?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)(.*)$"
     cut = files.select("file_path", F.regexp_extract("value", fence, 1).alias("front"), F.when(F.col("value").rlike(fence), F.regexp_extract("value", fence, 2)).otherwise(F.col("value")).alias("body"))
 

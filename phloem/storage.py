@@ -15,6 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def ensure(spark: SparkSession, path: str, schema: str, recreate: bool = False) -> DataFrame:
+    """The collection at a path, made empty with the schema if there is none or if it is to be made anew."""
+    if recreate or not exists(spark, path):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def count_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a collection, 0 if there is none."""
+    return spark.read.parquet(path).count() if exists(spark, path) else 0
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder, or one of our own where a local session names none; a cluster has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
