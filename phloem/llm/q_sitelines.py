@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phloem.llm.sitelines import site_lines, without_site_lines
+from phloem.llm.sitelines import repeated_blocks, site_lines, without_site_lines
 from phloem.storage import table
 
 
@@ -16,7 +16,11 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_site_lines(table(spark, sf_dir, "articles").select("article_id", "source", "body"), "article_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_clean": p6_clean}
+def p6_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_blocks(table(spark, sf_dir, "articles"), "article_id")
+
+
+QUERIES = {"p6_found": p6_found, "p6_clean": p6_clean, "p6_blocks": p6_blocks}
 SQL = {
     "p6_found": r"""
 WITH b AS (SELECT DISTINCT article_id, source, body FROM articles WHERE source IS NOT NULL AND body IS NOT NULL AND article_id IS NOT NULL),

@@ -9,8 +9,8 @@ from phloem.storage import Stage
 
 
 def normal_line(line: Column) -> Column:
-    """Trimmed, each run of white space one blank, lower case, each run of digits one sign. Single blanks are not matched at all."""
-    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, r"(?U) \s+|[^\S ]\s*", " "))), "[0-9]+", "0")
+    """Trimmed, each run of white space one blank, lower case, each run of digits one sign."""
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, r"(?U)\s+", " "))), "[0-9]+", "0")
 
 
 def line_table(docs: DataFrame, id_col: str, source: str, body: str) -> DataFrame:
@@ -23,9 +23,9 @@ def line_table(docs: DataFrame, id_col: str, source: str, body: str) -> DataFram
     rows = docs.filter(F.col(source).isNotNull() & F.col(id_col).isNotNull() & F.col(body).isNotNull()).select(
         F.col(id_col).alias("id"), F.xxhash64(id_col).alias("article"), F.xxhash64(id_col, body, source).alias("doc"), F.col(source).alias("source"), F.posexplode(numbered).alias("seq", "l")
     )
-    lines = rows.select("id", "article", "doc", "source", "seq", F.col("l.line_no").alias("line_no"), normal_line(F.col("l.text")).alias("text"))
-    counted = lines.filter(~F.col("text").startswith("#") & F.col("text").rlike(r"\p{L}"))
-    return counted.select("doc", "article", "id", "seq", "line_no", F.xxhash64("source", "text").alias("line"))
+    lines = rows.select("id", "article", "doc", "source", "seq", F.col("l.line_no").alias("line_no"), F.col("l.text").alias("text"))
+    counted = lines.filter(~F.col("text").rlike(r"(?U)^\s*#") & F.col("text").rlike(r"\p{L}"))  # on the line as it is, so that it is normalised once
+    return counted.select("doc", "article", "id", "seq", "line_no", F.xxhash64("source", normal_line(F.col("text"))).alias("line"))
 
 
 def _shared(places: DataFrame, name: str, min_docs: int) -> DataFrame:
@@ -83,15 +83,21 @@ def shared_blocks(stage: Stage, places: DataFrame, min_docs: int) -> DataFrame:
     return found
 
 
-def _version_lines(docs: DataFrame, id_col: str, source: str, body: str, min_docs: int, min_lines: int) -> DataFrame:
-    """(doc, id, line_no): ``site_lines`` of each version of a document; doc is the version's name in ``line_table``."""
-    stage = Stage(docs.sparkSession, "sitelines")
+def _places(stage: Stage, docs: DataFrame, id_col: str, source: str, body: str, min_docs: int) -> DataFrame:
+    """The rows of ``line_table`` whose line stands in enough articles of its source."""
     lines = stage.write(line_table(docs, id_col, source, body), "lines")
     often = lines.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("line")
     some = stage.write(lines.join(often, "line", "left_semi").distinct(), "some")
     good = _shared(some, "line", min_docs).select("line")
     places = stage.write(some.join(good, "line", "left_semi"), "places")
     stage.drop(lines)
+    return places
+
+
+def _version_lines(docs: DataFrame, id_col: str, source: str, body: str, min_docs: int, min_lines: int) -> DataFrame:
+    """(doc, id, line_no): ``site_lines`` of each version of a document; doc is the version's name in ``line_table``."""
+    stage = Stage(docs.sparkSession, "sitelines")
+    places = _places(stage, docs, id_col, source, body, min_docs)
     blocks = shared_blocks(stage, places, min_docs).filter(F.col("n_lines") >= min_lines)
     covered = blocks.select("doc", F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("n_lines") - 1)).alias("seq")).distinct()
     return places.join(covered, ["doc", "seq"], "left_semi").select("doc", "id", "line_no")
@@ -108,6 +114,21 @@ def site_lines(docs: DataFrame, id_col: str, source: str = "source", body: str =
     return _version_lines(docs, id_col, source, body, min_docs, min_lines).select(F.col("id").alias(id_col), "line_no").distinct()
 
 
+def repeated_blocks(docs: DataFrame, id_col: str, source: str = "source", body: str = "body", min_docs: int = 5, min_lines: int = 2) -> DataFrame:
+    """(id, line_no, n_lines), distinct: where a block of ``min_lines`` lines or more starts that ``min_docs`` articles of a source share.
+
+    A block that is the tail of a longer one of the same document is left out. line_no is its first line; blank lines
+    within it are not counted in n_lines.
+    """
+    stage = Stage(docs.sparkSession, "blocks")
+    places = _places(stage, docs, id_col, source, body, min_docs)
+    blocks = stage.write(shared_blocks(stage, places, min_docs).filter(F.col("n_lines") >= min_lines), "blocks")
+    before = blocks.select("doc", (F.col("seq") + 1).alias("seq"), (F.col("n_lines") - 1).alias("longer"))
+    heads = blocks.join(before, ["doc", "seq"], "left").filter(F.coalesce(F.col("longer") < F.col("n_lines"), F.lit(True)))
+    found = heads.join(places.select("doc", "seq", "id", "line_no"), ["doc", "seq"])
+    return found.select(F.col("id").alias(id_col), "line_no", "n_lines").distinct()
+
+
 def without_site_lines(docs: DataFrame, id_col: str, source: str = "source", body: str = "body", min_docs: int = 5, min_lines: int = 1) -> DataFrame:
     """``docs`` with the lines that ``site_lines`` finds taken out of each body; all rows and columns stay.
 

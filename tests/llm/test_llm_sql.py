@@ -14,7 +14,7 @@ def test_sql(spark, sf, name):
 EXPECTED = {
     "p1_found": ("point_id_a point_id_b", 100), "p1_nearest": ("point_id neighbour similarity", 300), "p3_found": ("table_name record_key line_no markup", 20), "p3_clean": ("table_name record_key clean", 140),
     "p4_found": ("field_name entity_id_a entity_id_b", 1), "p4_forms": ("field_name entity_id value form", 400), "p4_classes": ("field_name form value entity_id", 2), "p6_clean": ("article_id source body", 100),
-    "p7_found": ("item_id line_no", 100), "p8_packed": ("spec_id container_id doc_id piece first_token tokens", 200), "p8_fill": ("spec_id containers items tokens capacity_tokens least_containers used", 3),
+    "p6_blocks": ("article_id line_no n_lines", 1), "p7_found": ("item_id line_no", 100), "p8_packed": ("spec_id container_id doc_id piece first_token tokens", 200), "p8_fill": ("spec_id containers items tokens capacity_tokens least_containers used", 3),
     "p9_mixed": ("doc_id source tokens copies", 1), "p9_shares": ("source target_share max_repeats records available wanted budget n_copies reached reached_share share_of_total capped", 15),
     "p10_found": ("doc_id", 1), "p10_restored": ("doc_id restored n_runs n_lost gain", 1), "p10_validation": ("margin recall false_share", 1),
 }
@@ -38,7 +38,7 @@ def test_every_query_is_checked():
     assert set(EXPECTED) == set(QUERIES) - set(SQL)
 
 
-@pytest.mark.parametrize("name", ["p3_found", "p3_clean", "p4_found", "p4_forms", "p4_classes", "p6_clean", "p10_restored", "p10_validation"])
+@pytest.mark.parametrize("name", ["p3_found", "p3_clean", "p4_found", "p4_forms", "p4_classes", "p6_clean", "p6_blocks", "p10_restored", "p10_validation"])
 def test_shape(spark, sf, name):
     _rows(spark, sf, name)
 

@@ -1,6 +1,6 @@
 import re
 
-from phloem.llm.sitelines import site_lines, without_site_lines
+from phloem.llm.sitelines import repeated_blocks, site_lines, without_site_lines
 
 
 def _plain(docs, least):
@@ -40,3 +40,14 @@ def test_versions_of_one_id_lose_their_own_lines_only(spark):
     df = spark.createDataFrame(docs, "article_id string, source string, body string")
     got = sorted(tuple(r) for r in without_site_lines(df, "article_id").collect())
     assert got == sorted([(f"a{i}", "s1", f"riêng {chr(97 + i)}") for i in range(6)] + [("a0", "s1", "nội dung mới"), ("a0", "s2", "mở đầu\nđăng ký")])
+
+
+def test_blocks_of_several_lines(spark):
+    docs = [(f"m{i}", "s", "\n".join(["riêng " + chr(97 + i), *(f"câu {chr(97 + k)}" for k in range(20)), "# hết"])) for i in range(6)]
+    docs += [(f"p{i}", "s", "câu b\n\ncâu c\nkhác " + chr(97 + i)) for i in range(3)] + [(f"t{i}", "t", "một\nhai " + chr(97 + i)) for i in range(6)]
+    df = spark.createDataFrame(docs, "article_id string, source string, body string")
+    got = {tuple(r) for r in repeated_blocks(df, "article_id").collect()}
+    assert {r for r in got if r[0].startswith("m")} == {(f"m{i}", 2, 20) for i in range(6)}
+    assert {r[:3] for r in got if r[0].startswith("p")} == {(f"p{i}", 1, 2) for i in range(3)}
+    assert not any(r[0].startswith("t") for r in got)
+    assert repeated_blocks(df.limit(0), "article_id").count() == 0
