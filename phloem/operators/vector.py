@@ -113,6 +113,15 @@ def _ranked(scored: DataFrame, k: int, query_id: str, point_id: str) -> DataFram
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("p").alias(point_id), "score", "rank")
 
 
+def hold_to(points: DataFrame, **wanted: str) -> DataFrame:
+    """``points``, unless a row has another value than wanted (its text mode, its kind): then an error that names it."""
+    for column, value in wanted.items():
+        other = points.filter(~F.coalesce(F.col(column) == value, F.lit(False))).select(column).limit(1).collect()
+        if other:
+            raise ValueError(f"{column} is {other[0][0]!r} where {value!r} is expected")
+    return points
+
+
 def upsert(points: DataFrame, changes: DataFrame, key: str = "point_id") -> DataFrame:
     """The collection after the changes: a changed point is replaced as a whole; of several changes to it the last ``seq``."""
     w = Window.partitionBy(key).orderBy(F.desc("seq"))

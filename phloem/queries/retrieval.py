@@ -163,8 +163,32 @@ def _retrieval_evaluation(spark: SparkSession, d: str) -> DataFrame:
     return out.select("method", "query_id", "first_hit_rank", "hit_at_1", "hit_at_3", "hit_at_5", "mrr", F.array_join("matched_terms", "|").alias("matched_terms"))
 
 
+def _compact(spark: SparkSession, d: str) -> DataFrame:
+    """Each question's first ten entities and relations by name, and chunks by id."""
+    x = Retrieval(spark, d)
+    found = x.light()
+    entities = retrieve.listed(_ranked(found["entities"], "entity_id", 10).join(x.entities, "entity_id"), F.coalesce("name", F.lit("")), 10, "|")
+    named = g.with_names(x.relations, x.entities)
+    relations = retrieve.listed(_ranked(found["relations"], "relation_id", 10).join(named, "relation_id"), F.concat(F.coalesce("subject_name", F.lit("")), F.lit(" -["), "relation_type", F.lit("]-> "), F.coalesce("object_name", F.lit(""))), 10, "|")
+    chunks = retrieve.listed(_ranked(found["chunks"], "chunk_id", 10), F.col("chunk_id"), 10, "|")
+    out = x.asked.select("query_id")
+    for name, rows in (("entities", entities), ("relations", relations), ("chunks", chunks)):
+        out = out.join(rows.withColumnRenamed("lines", name), "query_id", "left")
+    return out
+
+
+def _payload_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Vector hits as records: title from the payload, else the record's own name, tagged by the search that they come from."""
+    x = Retrieval(spark, d)
+    titles = table(spark, d, "vector_points").select("payload.ref_id", F.nullif(F.trim("payload.title"), F.lit("")).alias("title")).groupBy("ref_id").agg(F.min("title").alias("title"))
+    own = x.entities.select(F.col("entity_id").alias("ref_id"), "name").unionByName(x.chunks.select(F.col("chunk_id").alias("ref_id"), F.col("title").alias("name")))
+    hits = [x.vector_hits(kind, 5).toDF("query_id", "ref_id", "score").withColumn("source", F.lit(tag)) for kind, tag in (("entity", "lightrag_entity"), ("chunk", "vector_chunk"))]
+    both = hits[0].unionByName(hits[1]).join(titles, "ref_id", "left").join(own, "ref_id", "left")
+    return both.select("query_id", "source", "ref_id", F.coalesce("title", F.nullif("name", F.lit("")), "ref_id").alias("title"), F.round("score", 7).alias("score"))
+
+
 QUERIES = {
-    "query_keywords": _query_keywords, "vector_rag": _vector_rag, "entity_expansion": _entity_expansion, "relation_expansion": _relation_expansion, "lightrag": _light, "hipporag": _hippo,
+    "compact_results": _compact, "payload_hits": _payload_hits, "query_keywords": _query_keywords, "vector_rag": _vector_rag, "entity_expansion": _entity_expansion, "relation_expansion": _relation_expansion, "lightrag": _light, "hipporag": _hippo,
     "hippo_settled": _hippo_settled, "hippo_support": _hippo_support, "mixed_rag": _mixed, "lightrag_context": _light_context, "mixed_evidence": _mixed_evidence, "answers": _answers, "retrieval_evaluation": _retrieval_evaluation,
 }
 
@@ -419,6 +443,14 @@ _LINES = (_LIGHT + _walk() + _FUSED + """, k AS (
 _TEXTS = ", ".join(f"({_quoted(i)}, {_quoted(q)})" for i, q in ASKED)
 
 SQL = {
+    "compact_results": _LIGHT + f""", e1 AS (SELECT o.query_id, string_agg(coalesce(e.name, ''), '|' ORDER BY o.rank) AS entities FROM {_numbered("o_ent", "entity_id")} o JOIN ent e USING (entity_id) WHERE o.rank <= 10 GROUP BY o.query_id),
+r1 AS (SELECT o.query_id, string_agg(coalesce(v.subject_name, '') || ' -[' || v.relation_type || ']-> ' || coalesce(v.object_name, ''), '|' ORDER BY o.rank) AS relations FROM {_numbered("o_rel", "relation_id")} o JOIN v USING (relation_id) WHERE o.rank <= 10 GROUP BY o.query_id),
+c1 AS (SELECT query_id, string_agg(chunk_id, '|' ORDER BY rank) AS chunks FROM {_numbered("o_ch", "chunk_id")} WHERE rank <= 10 GROUP BY query_id)
+SELECT a.query_id, e1.entities, r1.relations, c1.chunks FROM asked a LEFT JOIN e1 USING (query_id) LEFT JOIN r1 USING (query_id) LEFT JOIN c1 USING (query_id)""",
+    "payload_hits": _HITS + """, ti AS (SELECT payload.ref_id AS ref_id, min(nullif(trim(payload.title), '')) AS title FROM vector_points GROUP BY 1),
+ow AS (SELECT entity_id AS ref_id, name FROM ent UNION ALL SELECT chunk_id, title FROM ch)
+SELECT h.query_id, CASE h.kind WHEN 'entity' THEN 'lightrag_entity' ELSE 'vector_chunk' END AS source, h.ref_id, coalesce(ti.title, nullif(ow.name, ''), h.ref_id) AS title, round(h.score, 7) AS score
+FROM vh h LEFT JOIN ti USING (ref_id) LEFT JOIN ow USING (ref_id) WHERE h.rn <= 5""",
     "query_keywords": "SELECT * FROM (VALUES "
     + ", ".join(
         f"({_quoted(i)}, {_quoted('|'.join(r['low']))}, {_quoted('|'.join(r['high']))}, {_quoted(r['low_text'])}, {_quoted(r['high_text'])}, {_quoted(r['intent'])}, {_quoted('|'.join(r['types'])) if r['types'] else 'NULL'}, {_quoted('|'.join(dict.fromkeys([*r['high'], *r['low']])))})"
