@@ -1,4 +1,7 @@
-from phloem.llm.mojibake import CODE_PAGES, from_cp1258, from_tcvn, from_utf8, from_vni, legacy, repairs, undone, validation
+from pyspark.sql import functions as F
+
+from phloem.llm.charlm import _ids, ngram_counts, np, word_table
+from phloem.llm.mojibake import _TCVN_MEANT, _TCVN_SEEN, CODE_PAGES, FOLDS, CleanReader, Repairer, _spoilt, fitted, from_cp1258, from_tcvn, from_utf8, from_vni, legacy, looks_clean, repairs, split, undone, validation
 
 TEXT = "Người bệnh cần nghỉ ngơi đều đặn, uống đủ nước và tái khám đúng hẹn. Thuốc được dùng mỗi ngày sau bữa ăn."
 MORE = ("Bác sĩ chỉ định xét nghiệm máu thường quy để phân biệt viêm phổi với hen.", "Nhiệt độ phòng nên giữ quanh mức dễ chịu để hạn chế đổ mồ hôi đêm.", "A naïve reading of the biopsy may confuse both; it’s rare.", "Le traitement débute par une dose réduite, puis il est réévalué.")
@@ -43,7 +46,31 @@ def test_empty(spark):
     assert repairs(spark.createDataFrame([], "doc_id int, text string"), "doc_id").count() == 0
 
 
+def test_no_record_looks_clean(spark):
+    assert repairs(spark.createDataFrame([(1, "Bác s� chỉ định"), (2, TEXT.encode().decode("latin-1"))], "doc_id int, text string"), "doc_id").filter("doc_id = 1").count() == 1
+
+
 def test_margin_is_validated(spark):
     df = spark.createDataFrame([(i, f"{TEXT} {MORE[i % 4]} số {i}") for i in range(600)], "doc_id int, text string")
     row = validation(df).collect()[0]
     assert row.margin > 0 and row.recall >= 0.9 and row.false_share == 0.0
+
+
+def test_model_and_margin_come_from_every_record(spark):
+    seen = TEXT.translate(str.maketrans(_TCVN_MEANT, _TCVN_SEEN))  # looks clean, yet a chain gains on it
+    texts = [f"{TEXT} {MORE[i % 4]} {chr(0x4E00 + i)} số {i}" for i in range(300)] + [f"{seen} {i}" for i in range(3)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, TEXT.encode().decode("latin-1"), None, " "])], "doc_id int, text string")
+    counts, (margin, recall, false) = fitted(df, "text")
+    assert all(looks_clean(t) for t in texts) and (counts[_ids(np.arange(0x4E00, 0x4E00 + 300))[0]] >= 1).all()
+    marked = df.filter("length(trim(text)) > 0").select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("mark"))
+    clean, garbled = [], []
+    for fold in range(FOLDS):
+        others = Repairer(ngram_counts(word_table(marked.filter(F.col("mark") % FOLDS != fold), CleanReader)), margin)
+        for r in marked.filter(F.col("mark") % FOLDS == fold).collect():
+            if looks_clean(r.text):
+                clean.append(bool(others.runs(r.text)))
+                words = split(r.text)
+                at, made = _spoilt(words, r.mark // FOLDS)
+                garbled.append(bool(others.runs(" ".join([*words[:at], *made, *words[at + len(made) :]]))))
+    assert len(clean) == 303 and sum(clean) == 3
+    assert false == 3 / 303 and recall == sum(garbled) / 303
