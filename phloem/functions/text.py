@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,12 +20,18 @@ def _accented() -> tuple[str, str]:
 
 _FROM, _TO = _accented()
 _EDGE = r" \-–—:;,.()\[\]{}"
+_EDGE_SIGNS = " -–—:;,.()[]{}"
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it and wherever a filter carries it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def collapse(c: Column | str) -> Column:
     """Runs of white space as one blank, none outside."""
     return F.trim(F.regexp_replace(_col(c), r"\s+", " "))
@@ -60,6 +68,41 @@ def lower_collapsed(c: Column | str) -> Column:
     return collapse(F.lower(_col(c)))
 
 
+def spaced(c: Column | str) -> Column:
+    """``collapse`` that looks for runs of blanks before it replaces any, as few texts have one; this and the next four are for millions of short texts."""
+    runs = lambda x: x.contains("  ") | x.contains("\t") | x.contains("\n") | x.contains("\x0b") | x.contains("\f") | x.contains("\r")
+    return let(_col(c), lambda x: F.trim(F.when(runs(x), F.regexp_replace(x, r"\s+", " ")).otherwise(x)))
+
+
+def shown(c: Column | str) -> Column:
+    """``display_name`` by look-ups instead of patterns."""
+    plain = lambda x: F.when(x.contains("**") | x.contains("__"), F.regexp_replace(x, r"\*\*|__", "")).otherwise(x)
+    return F.btrim(let(spaced(c), plain), F.lit(_EDGE_SIGNS))
+
+
+def folded(c: Column | str) -> Column:
+    """``fold`` by look-ups instead of patterns."""
+    ascii_ = lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(F.regexp_replace(x, r"[^\x00-\x7F]", ""))
+    return spaced(let(F.translate(F.lower(_col(c)), _FROM, _TO), ascii_))
+
+
+def unmarked(c: Column | str) -> Column:
+    """``strip_marks`` with blanks collapsed, by look-ups instead of patterns."""
+    bare = lambda x: F.when(F.octet_length(x) == F.length(x), x).otherwise(F.regexp_replace(x, r"\p{Mn}", ""))
+    return spaced(let(F.translate(F.lower(_col(c)), _FROM, _TO), bare))
+
+
+def name_id(folded_name: Column | str, kind: Column | str) -> Column:
+    """``entity_id`` of a name that is folded already."""
+    signs = lambda x: F.when(x.contains("*") | x.contains("_") | x.contains('"') | x.contains("'") | x.contains("`"), F.regexp_replace(x, "[*_\"'`]", "")).otherwise(x)
+    return stable_id("entity", kind, F.btrim(spaced(let(_col(folded_name), signs)), F.lit(_EDGE_SIGNS)))
+
+
+def holds_any(text: Column, cues: tuple[str, ...]) -> Column:
+    """``contains_any`` of a text that is a column or bound by ``let``: look-ups instead of a pattern."""
+    return reduce(lambda a, b: a | b, [text.contains(c) for c in cues])
+
+
 def slugify(c: Column | str, limit: int = 90, default: str = "untitled") -> Column:
     slug = F.regexp_replace(F.regexp_replace(fold(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.coalesce(F.nullif(F.substring(slug, 1, limit), F.lit("")), F.lit(default))

@@ -56,6 +56,7 @@ HINT_CUES = (
 GENERIC = ("benh ly", "trieu chung benh", "van de", "tinh trang suc khoe", "trieu chung chung")
 
 _EDGE = r"[ \-–—:;,.()\[\]{}\n\t]+"
+_EDGE_SIGNS = " -–—:;,.()[]{}\n\t"
 _NONE = "array<string>"
 
 
@@ -72,27 +73,50 @@ def words(c: Column) -> Column:
     return F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
 
 
-def clean_keys(values: Column, limit: int, keep: Callable[[Column], Column] | None = None) -> Column:
-    """Cleaned values of at most eight words that say something, the first of each key, at most ``limit`` that ``keep`` allows by key."""
-    cleaned = F.transform(values, lambda v: F.struct(clean_text(v).alias("v"), key(clean_text(v)).alias("k")))
-    good = F.filter(cleaned, lambda x: (x["v"] != "") & (words(x["v"]) <= 8) & (x["k"] != "") & ~x["k"].isin(*GENERIC) & (keep(x["k"]) if keep else F.lit(True)))
-    keys = F.transform(good, lambda x: x["k"])
-    return F.slice(F.transform(F.filter(good, lambda x, i: F.array_position(keys, x["k"]) == i + 1), lambda x: x["v"]), 1, limit)
+def _keyed(cleaned: Column) -> Column:
+    """A cleaned text as a candidate for a key: itself, its key, and whether it says something in at most eight words."""
+    blanks = F.size(F.split(cleaned, " "))  # cleaned texts have single blanks and none outside
+    return t.let(t.unmarked(cleaned), lambda k: F.struct(cleaned.alias("v"), k.alias("k"), ((cleaned != "") & (blanks <= 8) & (k != "") & ~k.isin(*GENERIC)).alias("good")))
+
+
+def candidates(values: Column) -> Column:
+    """Texts of an array as candidates for keys; each is cleaned once."""
+    return F.transform(values, lambda v: t.let(F.btrim(t.spaced(F.coalesce(v, F.lit(""))), F.lit(_EDGE_SIGNS)), _keyed))
+
+
+def _fixed(values: tuple[str, ...]) -> Column:
+    """Fixed texts as candidates: without functions over arrays, so that the planner computes them and rows do not."""
+    each = [(clean_text(F.lit(x)), key(clean_text(F.lit(x)))) for x in values]
+    return F.array(*[F.struct(v.alias("v"), k.alias("k"), ((v != "") & (F.size(F.split(v, " ")) <= 8) & (k != "") & ~k.isin(*GENERIC)).alias("good")) for v, k in each])
+
+
+def clean_keys(found: Column, limit: int, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Values of candidates that say something, the first of each key, at most ``limit`` that ``keep`` allows by key."""
+    first = lambda good: t.let(F.transform(good, lambda x: x["k"]), lambda keys: F.filter(good, lambda x, i: F.array_position(keys, x["k"]) == i + 1))
+    allowed = F.filter(found, lambda x: x["good"] & (keep(x["k"]) if keep else F.lit(True)))
+    return F.transform(F.slice(t.let(allowed, first), 1, limit), lambda x: x["v"])
 
 
 def hints(text: Column) -> Column:
-    """Themes that a text hints at by its cues."""
-    said = key(text)
-    return F.flatten(F.array(*[F.when(t.contains_any(said, cues), F.array(*[F.lit(x) for x in themes])).otherwise(F.array().cast(_NONE)) for cues, themes in HINT_CUES]))
+    """Themes that a text hints at by its cues, as candidates; the text is folded once."""
+    themed = lambda said: F.flatten(F.array(*[F.when(t.holds_any(said, cues), _fixed(themes)).otherwise(F.slice(_fixed(themes), 1, 0)) for cues, themes in HINT_CUES]))
+    return t.let(t.unmarked(text), themed)
 
 
 def _of_type(kind: Column, known: dict[str, tuple[str, ...]]) -> Column:
-    out = F.array(F.lower(F.regexp_replace(F.coalesce(kind, F.lit("")), "_", " ")))
+    """Fixed keys of a type, or its name, as candidates."""
+    out = candidates(F.array(F.lower(F.regexp_replace(F.coalesce(kind, F.lit("")), "_", " "))))
     for name, keys in known.items():
-        out = F.when(kind == name, F.array(*[F.lit(k) for k in keys])).otherwise(out)
+        out = F.when(kind == name, _fixed(keys)).otherwise(out)
     return out
 
 
+def _other_keys(found: Column, limit: int) -> Column:
+    """Keys of candidates that are no local keys and do not end in one."""
+    other = lambda own: clean_keys(found, limit, lambda k: ~F.exists(own, lambda x: (k == x) | k.endswith(F.concat(F.lit(" "), x))))
+    return t.let(F.transform("local_keys", key), other)
+
+
 def entity_profiles(entities: DataFrame, evidence: str | None = None, local_limit: int = 6, global_limit: int = 5) -> DataFrame:
     """``entities`` with local_keys, global_keys and profile_text.
 
@@ -103,12 +127,10 @@ def entity_profiles(entities: DataFrame, evidence: str | None = None, local_limi
     said = F.coalesce(F.col(evidence), F.array().cast(_NONE)) if evidence else F.array().cast(_NONE)
     name, description = F.coalesce("name", F.lit("")), F.coalesce("description", F.lit(""))
     support = key(F.concat_ws("\n", name, description, F.array_join(forms, "\n"), F.array_join(said, "\n")))
-    local = clean_keys(F.concat(F.array(name), forms), local_limit, lambda k: F.col("__support").contains(k))
-    with_local = entities.withColumn("__support", support).withColumn("local_keys", local).withColumn("__local", F.transform("local_keys", key))
-    other = lambda k: ~F.exists("__local", lambda x: (k == x) | k.endswith(F.concat(F.lit(" "), x)))
+    local = t.let(support, lambda own: clean_keys(candidates(F.concat(F.array(name), forms)), local_limit, lambda k: own.contains(k)))
     broad = F.concat(_of_type(F.col("entity_type"), TYPE_KEYS), hints(F.concat_ws(" ", description, F.array_join(said, " "))))
-    both = with_local.withColumn("global_keys", clean_keys(broad, global_limit, other)).drop("__support", "__local")
-    label = lambda head, body: F.when(body != "", F.concat(F.lit(head), body))
+    both = entities.withColumn("local_keys", local).withColumn("global_keys", _other_keys(broad, global_limit))
+    label = lambda head, body: t.let(body, lambda x: F.when(x != "", F.concat(F.lit(head), x)))
     lines = (
         F.concat(F.lit("Tên thực thể: "), clean_text(name)), F.concat(F.lit("Loại thực thể: "), F.coalesce("entity_type", F.lit(""))), label("Mô tả: ", clean_text(description)),
         label("Local keys: ", F.array_join("local_keys", "; ")), label("Global keys: ", F.array_join("global_keys", "; ")),
@@ -119,25 +141,24 @@ def entity_profiles(entities: DataFrame, evidence: str | None = None, local_limi
 def proposed_keys(profiles: DataFrame, local: str, global_: str, local_limit: int = 6, global_limit: int = 5) -> DataFrame:
     """Profiles with keys that a model proposed: local ones are added if the profile's text supports them, global ones replace the broad ones unless none is left."""
     none = F.array().cast(_NONE)
-    added = clean_keys(F.concat("local_keys", F.coalesce(F.col(local), none)), local_limit, lambda k: key(F.col("profile_text")).contains(k))
-    own = profiles.withColumn("local_keys", added).withColumn("__local", F.transform("local_keys", key))
-    fresh = clean_keys(F.coalesce(F.col(global_), none), global_limit, lambda k: ~F.exists("__local", lambda x: (k == x) | k.endswith(F.concat(F.lit(" "), x))))
-    return own.withColumn("global_keys", F.when(F.size(fresh) > 0, fresh).otherwise(F.col("global_keys"))).drop("__local")
+    added = t.let(key(F.col("profile_text")), lambda own: clean_keys(candidates(F.concat("local_keys", F.coalesce(F.col(local), none))), local_limit, lambda k: own.contains(k)))
+    fresh = _other_keys(candidates(F.coalesce(F.col(global_), none)), global_limit)
+    return profiles.withColumn("local_keys", added).withColumn("global_keys", t.let(fresh, lambda x: F.when(F.size(x) > 0, x).otherwise(F.col("global_keys"))))
 
 
 def relation_keywords(limit: int = 8) -> Column:
     """Keywords of a relation with its ends' names: both names, the type's keys, and the themes that its texts hint at."""
     said = F.concat_ws(" ", "subject_name", "object_name", "description", "evidence_text")
     names = F.array(F.coalesce("subject_name", F.lit("")), F.coalesce("object_name", F.lit("")))
-    return clean_keys(F.concat(names, _of_type(F.col("relation_type"), RELATION_KEYS), hints(said)), limit)
+    return clean_keys(F.concat(candidates(names), _of_type(F.col("relation_type"), RELATION_KEYS), hints(said)), limit)
 
 
 def validated_keywords(items: Column, limit: int = 5) -> Column:
     """Keywords of an extraction: cut to 80 characters, at most eight words, none that names no entity, the first of each folded form."""
     cleaned = F.transform(F.coalesce(items, F.array().cast(_NONE)), lambda x: t.short_text(x, 80))
     good = F.filter(cleaned, lambda x: (x != "") & (t.fold(x) != "") & (words(x) <= 8) & ~extract.blocked(x))
-    keys = F.transform(good, t.fold)
-    return F.slice(F.filter(good, lambda x, i: F.array_position(keys, t.fold(x)) == i + 1), 1, limit)
+    first = lambda own: t.let(F.transform(own, t.fold), lambda keys: F.filter(own, lambda x, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1))
+    return F.slice(t.let(good, first), 1, limit)
 
 
 def fallback_keywords(subject: Column, kind: Column, object_: Column) -> Column:
@@ -149,7 +170,8 @@ def fallback_keywords(subject: Column, kind: Column, object_: Column) -> Column:
 
 
 def _lines(*parts: tuple[str, Column]) -> Column:
-    return F.concat_ws("\n", *[F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(head), v)) for head, v in parts])
+    line = lambda head, v: t.let(v, lambda x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(head), x)))
+    return F.concat_ws("\n", *[line(head, v) for head, v in parts])
 
 
 def chunk_text() -> Column:

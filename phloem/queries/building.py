@@ -93,7 +93,7 @@ def _cue_flags(spark: SparkSession, d: str) -> DataFrame:
 
 def replay(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(records, chunks): extraction records replayed from the relations table, each for its evidence chunks, and the chunks."""
-    x = Graph(spark, d, fixed=True)
+    x = Graph(spark, d)
     named = graph.with_names(x.raw["relations"].select("relation_id", "subject_entity_id", "object_entity_id", graph.relation_kind().alias("relation_type"), "description", "keywords", "evidence_text", "confidence").distinct(), x.entities)
     chunk_ids = x.chunks.select("chunk_id", "article_id", "section", "source_url", "text", "contextualized_text")
     met = named.join(x.links, "relation_id").join(chunk_ids.select("chunk_id"), "chunk_id", "left_semi")

@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from phloem.operators import docs, graph, rank, vector
+from phloem.functions import text as t
+from phloem.operators import docs, extract, graph, rank, vector
 from phloem.plans import ingest, judge, keywords, profiles, retrieve
 
 
@@ -108,6 +109,24 @@ def test_ingest_of_small_records(spark):
     assert ingest.write_graph(records.limit(0), chunks).entities.count() == 0
 
 
+def test_texts_of_profiles_are_folded_once(spark):
+    rows = spark.createDataFrame([("CO_BIEU_HIEN", "Viêm da", "ngứa", None, "Ho khan, ngứa " * 3)], "relation_type string, subject_name string, object_name string, description string, evidence_text string")
+    made = rows.select(profiles.relation_keywords().alias("k"))
+    assert made.collect()[0].k == ["Viêm da", "ngứa", "triệu chứng", "biểu hiện lâm sàng", "gợi ý bệnh từ triệu chứng", "triệu chứng hô hấp", "bệnh hô hấp", "triệu chứng da"]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("evidence_text#") <= 2  # where it is read, and in one expression
+
+
+def test_look_ups_agree_with_patterns(spark):
+    odd = ["", " ", "a", None, " a  b ", "**Viêm__ da** .", "* *a* *", "(x) - y:", "a\t\nb\x0b\fc\rd", "Đau ‘họng’ “x” đ", "e\u0301 ho\u0323 ", "_a_ 'b' \"c\" `d`", "--__--", "日本 a 語", "a ** b", "\u00a0x\u00a0", "–A—", "[doi_tuong]", "BÁC  SĨ", "ts.bs. A"]
+    rows = spark.createDataFrame([(x,) for x in odd], "x string")
+    pairs = (
+        (t.spaced("x"), t.collapse("x")), (t.shown("x"), t.display_name("x")), (t.folded("x"), t.fold("x")), (t.unmarked("x"), t.collapse(t.strip_marks(F.col("x")))), (t.shown(t.shown("x")), t.display_name(t.display_name("x"))),
+        (t.name_id(t.folded("x"), F.lit("K")), t.entity_id("x", F.lit("K"))), (t.holds_any(t.folded("x"), extract.BLOCKED), t.contains_any(F.lower(F.trim("x")), extract.BLOCKED) | t.contains_any(t.fold("x"), extract.BLOCKED)),
+    )
+    for i, (a, b) in enumerate(pairs):
+        assert [] == [(i, *r) for r in rows.select("x", a.alias("a"), b.alias("b")).collect() if r.a != r.b]
+
+
 def test_proposed_keys_need_support(spark):
     rows = spark.createDataFrame([("e", "viêm da", "BENH_LY", "Viêm da hay eczema", ["viêm da"], ["eczema", "xét nghiệm"], ["bệnh da", "viêm da", "thể viêm da"])], "entity_id string, name string, entity_type string, description string, surface_forms array<string>, l array<string>, g array<string>")
     got = profiles.proposed_keys(profiles.entity_profiles(rows), "l", "g").collect()[0]
